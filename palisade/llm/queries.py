@@ -15,6 +15,40 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.secret_scan import secrets
+
+    return secrets(spark, documents(spark, sf_dir))
+
+
+def secret_sql() -> str:
+    """Each rule's matches by their lengths and those of the texts between them, without an index."""
+    from palisade.llm.secret_scan import BASE, MORE
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, n, {at} AS at, '{r.kind}' AS kind, regexp_extract_all(t, {quoted(r.regex)}) AS ms, "
+        f"regexp_extract_all(t, {quoted(r.regex)}, {r.group}) AS gs, string_split_regex(t, {quoted(r.regex)}) AS ps, {r.least} AS least FROM d"
+        for at, r in enumerate([*BASE, *MORE])
+    )
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    text = "concat_ws(':', kind, s, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+m AS ({found}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+p AS (SELECT doc_id, n, at, kind, length(gs[i]) >= least AS ok,
+             list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0)::BIGINT AS s,
+             length(ms[i]) AS w FROM i),
+q AS (SELECT n, at, kind, s, s + w AS e FROM p WHERE ok),
+g AS (SELECT n, {counts},
+             coalesce(string_agg({text}, ',' ORDER BY s, at) FILTER (kind IN ({base})), '') AS base,
+             string_agg({text}, ',' ORDER BY s, at) AS spans FROM q GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.exact_dedup import exact_copies
 
@@ -39,9 +73,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op7_language_id, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op7_language_id, op9_token_store)}
 
 ORACLE_SQL = {
+    "op1_secret_scan": secret_sql(),
     "op2_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
