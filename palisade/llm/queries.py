@@ -27,7 +27,7 @@ def secret_sql() -> str:
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     found = " UNION ALL ".join(
-        f"SELECT doc_id, n, {at} AS at, '{r.kind}' AS kind, regexp_extract_all(t, {quoted(r.regex)}) AS ms, "
+        f"SELECT doc_id, n, {at} AS ord, '{r.kind}' AS kind, regexp_extract_all(t, {quoted(r.regex)}) AS ms, "
         f"regexp_extract_all(t, {quoted(r.regex)}, {r.group}) AS gs, string_split_regex(t, {quoted(r.regex)}) AS ps, {r.least} AS least FROM d"
         for at, r in enumerate([*BASE, *MORE])
     )
@@ -38,13 +38,13 @@ def secret_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
 m AS ({found}),
 i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
-p AS (SELECT doc_id, n, at, kind, length(gs[i]) >= least AS ok,
+p AS (SELECT doc_id, n, ord, kind, length(gs[i]) >= least AS ok,
              list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0)::BIGINT AS s,
              length(ms[i]) AS w FROM i),
-q AS (SELECT n, at, kind, s, s + w AS e FROM p WHERE ok),
+q AS (SELECT n, ord, kind, s, s + w AS e FROM p WHERE ok),
 g AS (SELECT n, {counts},
-             coalesce(string_agg({text}, ',' ORDER BY s, at) FILTER (kind IN ({base})), '') AS base,
-             string_agg({text}, ',' ORDER BY s, at) AS spans FROM q GROUP BY n)
+             coalesce(string_agg({text}, ',' ORDER BY s, ord) FILTER (kind IN ({base})), '') AS base,
+             string_agg({text}, ',' ORDER BY s, ord) AS spans FROM q GROUP BY n)
 SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (n)"""
 
