@@ -73,7 +73,13 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op7_language_id, op9_token_store)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.suffix_dedup import without_repeats
+
+    return without_repeats(spark, documents(spark, sf_dir)).drop("removed")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op7_language_id, op9_token_store, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_sql(),
