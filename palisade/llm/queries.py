@@ -67,6 +67,12 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.near_dedup import classes
+
+    return classes(spark, documents(spark, sf_dir)).drop("uid")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.language_id import languages
 
@@ -85,7 +91,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark, documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op4_nearest, op7_language_id, op9_token_store, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op4_nearest, op5_near_dedup, op7_language_id, op9_token_store, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_sql(),
