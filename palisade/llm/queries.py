@@ -73,12 +73,24 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark, documents(spark, sf_dir)).drop("uid")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.mixing import mixture
+
+    return mixture(spark, documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.language_id import languages
 
     return languages(spark, documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.packing import pack
+
+    return pack(spark, documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.token_store import token_store
 
@@ -91,7 +103,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark, documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op4_nearest, op5_near_dedup, op7_language_id, op9_token_store, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_token_counts, op4_nearest, op5_near_dedup, op6_mixing, op7_language_id, op8_packing, op9_token_store, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_sql(),

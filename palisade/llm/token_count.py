@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.llm.common import text_of
 
@@ -126,8 +127,9 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def with_token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_bytes (UTF-8) and n_tokens for each row of docs, in one pass without a shuffle.
+def with_token_counts(spark: SparkSession, docs: DataFrame, path: str, *kept: str) -> DataFrame:
+    """doc_id, n_bytes (UTF-8) and n_tokens for each row of docs, after the columns named in kept, in
+    one pass without a shuffle.
 
     The counts are those of the tokenizers library for the vocabulary file at `path`, with special
     strings in a text taken as special tokens (its default) and none added. Null and empty texts
@@ -138,11 +140,12 @@ def with_token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFr
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = get().count
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([count(t) for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            counts = pa.array([count(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
+            yield pa.record_batch([*b.columns[:-1], counts], names=[*b.schema.names[:-1], "n_tokens"])
 
     text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(f, "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(*[docs[k] for k in kept], docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return rows.mapInArrow(f, T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType())]))
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
