@@ -70,6 +70,20 @@ class Merges:
         return n - merges
 
 
+class LibraryMerges(Merges):
+    """Counts by the tokenizers library, for operators that need lengths and are not about merging."""
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self.special = [t["content"] for t in json.loads(file)["added_tokens"]]
+        self.symbols = byte_symbols()
+        self.model = Tokenizer.from_str(file).model
+
+    def count(self, token: bytes) -> int:
+        return len(self.model.tokenize("".join([self.symbols[b] for b in token])))
+
+
 class Counter:
     """Counts tokens of whole texts. What is between two single spaces is a piece that no pre-token
     crosses, so a text's count is the sum of its pieces', and those are remembered."""
@@ -109,14 +123,14 @@ class Counter:
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
 
-def counter_for(file) -> Callable[[], Counter]:
+def counter_for(file, merges: type[Merges] = Merges) -> Callable[[], Counter]:
     """One Counter for each Python worker, from a broadcast of the vocabulary's text (its size is the
     vocabulary's, whatever the corpus)."""
     made: list[Counter] = []
 
     def get() -> Counter:
         if not made:
-            made.append(Counter(Merges(file.value)))
+            made.append(Counter(merges(file.value)))
         return made[0]
 
     return get
@@ -127,7 +141,7 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def with_token_counts(spark: SparkSession, docs: DataFrame, path: str, *kept: str) -> DataFrame:
+def with_token_counts(spark: SparkSession, docs: DataFrame, path: str, *kept: str, merges: type[Merges] = Merges) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens for each row of docs, after the columns named in kept, in
     one pass without a shuffle.
 
@@ -135,7 +149,7 @@ def with_token_counts(spark: SparkSession, docs: DataFrame, path: str, *kept: st
     strings in a text taken as special tokens (its default) and none added. Null and empty texts
     count 0; each repeated row is counted; an empty table gives no rows.
     """
-    get = counter_for(vocabulary(spark, path))
+    get = counter_for(vocabulary(spark, path), merges)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = get().count
