@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, lookup, packed, save, text_of, unpacked
+from palisade.llm.common import identified, lookup, packed, save, scanned, text_of, unpacked
 
 RADIX = 8
 DIGEST, RECORD = 32, 73
@@ -159,12 +159,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text stays, then the smallest doc_id (null last); of rows that are equal in both, exactly one is
     kept. An empty table gives no rows; further columns are not read.
     """
-    digests = identified(spark, docs, digest_columns(text_of(docs), docs["doc_id"]))
+    docs = scanned(spark, docs)
+    digests = identified(docs, digest_columns(text_of(docs), docs["doc_id"]))
     return decided(spark, digests).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_copies() keeps, with their columns."""
-    digests = identified(spark, docs, digest_columns(text_of(docs), docs["doc_id"]))
+    docs = scanned(spark, docs)
+    digests = identified(docs, digest_columns(text_of(docs), docs["doc_id"]))
     gone = decided(spark, digests).filter(~F.col("kept")).select("uid")
-    return unpacked(packed(spark, docs).join(gone, "uid", "left_anti"), docs.columns)
+    return unpacked(packed(docs).join(gone, "uid", "left_anti"), docs.columns)

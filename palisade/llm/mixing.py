@@ -20,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, packed, ranked, save, unpacked
+from palisade.llm.common import identified, packed, ranked, save, scanned, unpacked
 
 FRAME = 1 << 14
 BLOCK = 8
@@ -115,8 +115,8 @@ def scheduled(spark: SparkSession, rows: DataFrame, weights: Mapping[str | None,
     return out.withColumn("slot", slot).withColumn("selected", F.coalesce(F.col("slot") < end, F.lit(False))).drop("turn", "at", "quota")
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return identified(spark, docs, [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["doc_id"].cast("string")).alias("spread")])
+def keyed(docs: DataFrame) -> DataFrame:
+    return identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["doc_id"].cast("string")).alias("spread")])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -127,12 +127,14 @@ def mixture(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, f
     weights of sources that are not there are left out. Inside a block rows go by place. Repeated rows
     are rows like others; an empty table gives no rows.
     """
-    return scheduled(spark, keyed(spark, docs), weights, block).select("doc_id", "source", "block", "place", "slot", "selected")
+    docs = scanned(spark, docs)
+    return scheduled(spark, keyed(docs), weights, block).select("doc_id", "source", "block", "place", "slot", "selected")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The selected rows of docs in the order of the mix, with their columns."""
-    chosen = scheduled(spark, keyed(spark, docs), weights, block).filter("selected").select("uid", "slot", "place")
+    docs = scanned(spark, docs)
+    chosen = scheduled(spark, keyed(docs), weights, block).filter("selected").select("uid", "slot", "place")
     chosen = save(spark, chosen, "chosen")
-    rows = packed(spark, docs).join(chosen.hint("shuffle_hash"), "uid")
+    rows = packed(docs).join(chosen.hint("shuffle_hash"), "uid")
     return unpacked(rows.orderBy("slot", "place"), docs.columns)

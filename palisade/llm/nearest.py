@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palisade.llm.common import identified, save
+from palisade.llm.common import identified, save, scanned
 
 DIMENSIONS, SURE, SEED = 12, 0.98, 11
 #: Rows of a shard, queries of a block, rows of a leaf, rows that the top of the tree is fitted on.
@@ -184,7 +184,8 @@ def neighbours(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 5
     are fewer rows; a repeated query row has results of its own, and its copies are candidates. Null
     ids are no queries, and come last among ties.
     """
-    rows = identified(spark, table, [table["vec_id"].cast("long").alias("vec_id"), table["embedding"].cast("array<double>").alias("vector")])
+    table = scanned(spark, table)
+    rows = identified(table, [table["vec_id"].cast("long").alias("vec_id"), table["embedding"].cast("array<double>").alias("vector")])
     rows = save(spark, rows.mapInArrow(usable, "uid binary, vec_id long, dim int, vector binary"), "vectors")
     total, dim = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
     result = "query_id long, rank int, vec_id long, score double"

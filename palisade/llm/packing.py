@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, ranked, save
+from palisade.llm.common import identified, ranked, save, scanned
 from palisade.llm.token_count import LibraryMerges, with_token_counts
 
 EXACT = 2_048
@@ -79,6 +79,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, buckets: int = B
     of its own, whole; null and empty texts have length 0. Repeated rows are packed each; an empty
     table gives no rows.
     """
-    counted = with_token_counts(spark, identified(spark, docs, [docs["doc_id"], docs["text"]]), vocabulary, "uid", merges=LibraryMerges)
+    docs = scanned(spark, docs)
+    counted = with_token_counts(spark, identified(docs, [docs["doc_id"], docs["text"]]), vocabulary, "uid", merges=LibraryMerges)
     counted = save(spark, counted, "lengths")
     return packed_lengths(spark, counted, buckets, budget).select("doc_id", "n_tokens", "bucket", "bucket_length", "batch", "place", "padding")

@@ -32,11 +32,16 @@ class Rule:
     least: int = 1
 
 
+def either_case(word: str) -> str:
+    """A word in ASCII letters of either case, the same to every engine."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
 # The base rules in the order in which they are listed. Runs of one character class are
 # matched as a whole, so the least length stands in the expression where no shorter match could hide
 # a longer one.
 BASE = [
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("assign", f"({'|'.join(map(either_case, ['password', 'passwd', 'secret', 'token', 'api_?key']))})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 ]

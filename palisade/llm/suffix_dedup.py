@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.anchors import MOST, Anchors
-from palisade.llm.common import identified, save, text_of
+from palisade.llm.common import identified, save, scanned, text_of
 from palisade.llm.lyndon import common_prefixes, suffix_array
 
 WINDOW, CELL = 400, 25
@@ -282,8 +282,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, large: int = LARGE) ->
     in; a null text is empty, texts shorter than a window lose nothing, a row that repeats another is
     removed whole if it is that long. An empty table gives no rows.
     """
-    texts = identified(spark, docs, [text_of(docs).alias("text")])
+    docs = scanned(spark, docs)
+    texts = identified(docs, [text_of(docs).alias("text")])
     spans = save(spark, repeated_spans(spark, texts, large), "spans")
-    rows = identified(spark, docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
+    rows = identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
     joined = rows.join(spans.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,stop:int>>")
