@@ -3,9 +3,11 @@ to rows that stand hot groups, and ranks without a window over a whole group."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,32 +42,49 @@ def save(spark: SparkSession, df: DataFrame, name: str, by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identified(spark: SparkSession, df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`columns` of df behind `uid`, a binary(16) that names the row: its file and its place in it.
+def few(df: DataFrame, rows: int, in_one: int = 50_000) -> DataFrame:
+    """df, of narrow rows, in no more partitions than so many rows are worth."""
+    return df.coalesce(max(8, -(-rows // in_one)))
+
+
+def row_name(frame: DataFrame) -> Column:
+    meta = frame.metadataColumn("_metadata")
+    return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(meta["file_path"])), 16, "0"), F.lpad(F.hex(meta["row_index"]), 16, "0")))
 
-    The name does not hang on how a scan is split, so two jobs agree on it whatever executors they
-    had. A DataFrame that is not a file scan is written to the shared folder first.
-    """
-    def ids(frame: DataFrame) -> Column:
-        meta = frame.metadataColumn("_metadata")
-        return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(meta["file_path"])), 16, "0"), F.lpad(F.hex(meta["row_index"]), 16, "0")))
 
+def scanned(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df if it is a scan of files, else df written to the shared folder and read again."""
     try:
-        return df.select(ids(df).alias("uid"), *columns)
+        df.select(row_name(df))
+        return df
     except AnalysisException:
-        df = save(spark, df, "rows")
-        return df.select(ids(df).alias("uid"), *columns)
+        return save(spark, df, "rows")
 
 
-def packed(spark: SparkSession, docs: DataFrame, *extra: Column) -> DataFrame:
+def identified(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """`columns` of a scanned() df behind `uid`, a binary(16) that names the row: its file and its place
+    in it.
+
+    The name does not hang on how a scan is split, so two jobs agree on it whatever executors they had.
+    """
+    return df.select(row_name(df).alias("uid"), *columns)
+
+
+def packed(docs: DataFrame, *extra: Column) -> DataFrame:
     """uid, the whole row as the struct `row` (so that no column of docs can clash), and extra."""
-    return identified(spark, docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *extra])
+    return identified(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *extra])
 
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
+def released() -> None:
+    """Give back what a Python worker no longer uses; it may sit idle while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     """The text of a row as a string that is never null."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

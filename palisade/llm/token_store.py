@@ -11,13 +11,15 @@ Layout of a store, all Parquet, in a folder that driver and executors share:
   chunks/    key binary(16), data binary (further columns are null): ids as little-endian unsigned 16-bit integers where the
              vocabulary has at most 65,536 ids, else 32-bit
   recipes/   part=N/, N ascending with doc_id (nulls first): doc_id, start (ids of all documents
-             before), n_tokens, names array<binary>, lengths array<int>, root binary; sorted
+             before), n_tokens, names (16 bytes each), lengths (little-endian 32-bit integers),
+             root; sorted
   manifest/  part, documents, n_tokens, root
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,15 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from palisade.llm.common import fresh_path, save, text_of
+from palisade.llm.common import fresh_path, released, save, text_of
+from palisade.llm.token_count import byte_symbols
 
-LEAST, MEAN, MOST, WINDOW = 64, 256, 2048, 32
+LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 32
 #: Pieces whose ids a Python worker remembers, and chunk names that it has sent already.
-REMEMBERED, SENT = 500_000, 500_000
+REMEMBERED, SENT = 300_000, 100_000
+#: Documents whose ids a worker holds at once.
+HELD = 256
 NAME = 16
+SYMBOLS = byte_symbols()
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 1 << 16, np.uint64)
-ROWS = T.StructType([T.StructField("route", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("lengths", T.BinaryType())])
-ARROW = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("lengths", pa.binary())])
+ROWS = T.StructType([T.StructField("route", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("root", T.BinaryType())])
+ARROW = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("lengths", pa.binary()), ("root", pa.binary())])
 
 
 def name_of(data: bytes) -> bytes:
@@ -71,32 +77,84 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 class Encoder:
     """Ids of whole texts. The vocabulary drops white space and no token crosses it, so a text is the
-    ids of its pieces between spaces and newlines, and those of frequent pieces are remembered."""
+    ids of its pieces between spaces and newlines, and those of frequent pieces are remembered.
+
+    A new piece of letters only (with a full stop or comma after it, maybe) is one word of the
+    vocabulary's model, which gets it as it is after normalisation; other pieces go through the whole
+    tokenizer. Letters are in lower case for both, as the vocabulary has it.
+    """
 
     def __init__(self, spec: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.ids([end])
-        self.known: dict[str, bytes] = {"": b""}
+        self.of_id = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.model = self.tokenizer.model
+        self.words = self.single_words()
+        self.known = Pieces(self)
+        self.marks = {m[0]: self.whole(m) for m in (b".", b",")}
+
+    def single_words(self) -> bool:
+        """Whether the vocabulary is of the kind that makes one lower-case word of a run of letters."""
+        samples = ["Abc", "\xc9t\xe9", "w" * 40, "stra\xdfe"]
+        return all(self.whole(x.encode()) == self.word(x.lower().encode()) for x in samples) and all(self.whole(f"{x}{m} y".encode()) == self.whole(x.encode()) + self.whole(m.encode()) + self.whole(b"y") for x in samples for m in ".,")
 
     def ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def whole(self, piece: bytes) -> bytes:
+        return self.ids(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+
+    def word(self, word: bytes) -> bytes:
+        symbols = word.decode() if word.isascii() else "".join([SYMBOLS[b] for b in word])
+        of = self.of_id
+        return b"".join([of[t.id] for t in self.model.tokenize(symbols)])
+
+    def new(self, piece: bytes) -> bytes:
+        if self.words:
+            tail = self.marks.get(piece[-1])
+            word = piece if tail is None else piece[:-1]
+            if word.isalpha():  # ASCII letters
+                return self.word(word) + (tail or b"")
+            text = word.decode()
+            # of Latin-1 letters the lower case is beyond doubt, and they are composed already
+            if text.isalpha() and max(text) < "\u0100":
+                return self.word(text.lower().encode()) + (tail or b"")
+        return self.whole(piece)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
         known = self.known
+        if len(known) > REMEMBERED:
+            known.turn()
         for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([known[p] for p in pieces]) + self.end
-            except KeyError:
-                new = [p for p in dict.fromkeys(pieces) if p not in known]
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = self.ids(e.ids)
-                yield b"".join([known[p] for p in pieces]) + self.end
+            raw = text.encode("utf-8")
+            pieces = (raw.lower() if self.words else raw).replace(b"\n", b" ").split(b" ")
+            yield b"".join([known[p] for p in pieces]) + self.end
+
+
+class Pieces(dict):
+    """The ids of pieces; those of a new one are made when they are asked for. Two generations are held:
+    what has not been asked for since the last turn is dropped at the next."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.new, self.older = encoder.new, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.new(piece) if piece else b""
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
 
 def once(make: Callable):
@@ -120,7 +178,7 @@ class Store:
         return spark.read.schema("key binary, data binary").parquet(f"{self.path}/chunks").select(F.col("key").alias("name"), "data")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("doc_id long, start long, n_tokens long, names array<binary>, lengths array<int>, root binary, part int").parquet(f"{self.path}/recipes")
+        return spark.read.schema("doc_id long, start long, n_tokens long, names binary, lengths binary, root binary, part int").parquet(f"{self.path}/recipes")
 
     def manifest(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("part int, documents long, n_tokens long, root binary").parquet(f"{self.path}/manifest")
@@ -142,38 +200,39 @@ def encoded(spark: SparkSession, docs: DataFrame, file: str, end: int) -> DataFr
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = get(), set()
         width = encoder.dtype.itemsize
-        for b in batches:
-            if len(sent) > SENT:
-                sent.clear()
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                names, lengths, last = [], [], 0
-                for c in cuts(np.frombuffer(data, encoder.dtype)):
-                    piece = data[last * width : c * width]
-                    names.append(key := name_of(piece))
-                    lengths.append(c - last)
-                    last = c
-                    if key not in sent:
-                        sent.add(key)
-                        for column, value in zip(out, (int.from_bytes(key[:7], "big"), None, key, piece, None, None, None), strict=True):
-                            column.append(value)
-                own = b"".join(names)
-                for column, value in zip(out, (zlib.crc32(own) ^ ((doc_id or 0) & 0xFFFFFF), doc_id, None, None, last, own, np.array(lengths, "<i4").tobytes()), strict=True):
-                    column.append(value)
-            yield pa.record_batch(list(out), schema=ARROW)
+        for whole in batches:
+            for b in (whole.slice(i, HELD) for i in range(0, len(whole), HELD)):
+                if len(sent) > SENT:
+                    sent.clear()
+                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+                for doc_id, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+                    names, lengths, last = [], [], 0
+                    for c in cuts(np.frombuffer(data, encoder.dtype)):
+                        piece = data[last * width : c * width]
+                        names.append(key := name_of(piece))
+                        lengths.append(c - last)
+                        last = c
+                        if key not in sent:
+                            sent.add(key)
+                            for column, value in zip(out, (int.from_bytes(key[:7], "big"), None, key, piece, None, None, None, None), strict=True):
+                                column.append(value)
+                    own = b"".join(names)
+                    for column, value in zip(out, (zlib.crc32(own) ^ ((doc_id or 0) & 0xFFFFFF), doc_id, None, None, last, own, np.array(lengths, "<i4").tobytes(), root_of(names)), strict=True):
+                        column.append(value)
+                yield pa.record_batch(list(out), schema=ARROW)
+        # idle workers hold no memory while other stages run
+        for _ in range(2):
+            encoder.known.turn()
+        sent.clear()
+        released()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(f, ROWS)
 
 
-def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, nulls first: those without a key, and the first of each key."""
-    last = None
-    for b in batches:
-        keep = []
-        for key in b.column(2).to_pylist():
-            keep.append(key is None or key != last)
-            last = key
-        yield b.filter(pa.array(keep, pa.bool_()))
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """rows, dealt by route, without the chunks that are there already; recipes have no key and stay."""
+    same = W.partitionBy("route", "key").orderBy("key")
+    return rows.withColumn("n", F.row_number().over(same)).filter("key IS NULL OR n = 1").drop("n")
 
 
 def write_store(spark: SparkSession, docs: DataFrame, file: str, end: int, path: str | None = None, rows_in_file: int = 100_000) -> Store:
@@ -187,7 +246,7 @@ def write_store(spark: SparkSession, docs: DataFrame, file: str, end: int, path:
     dtype = Encoder(file, end).dtype.str
     # one shuffle brings equal chunks together; recipes travel with them, and what is written is final
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = encoded(spark, docs, file, end).repartition(partitions, "route").sortWithinPartitions("key").mapInArrow(first_of_each, ROWS)
+    rows = first_of_each(encoded(spark, docs, file, end).repartition(partitions, "route"))
     raw = f"{path}/raw"
     rows.withColumn("kind", F.when(F.col("key").isNull(), "recipe").otherwise("chunk")).write.option("compression", "zstd").partitionBy("kind").parquet(raw)
     raw_rows = spark.read.schema(T.StructType([*ROWS.fields, T.StructField("kind", T.StringType())])).parquet(raw)
@@ -195,7 +254,7 @@ def write_store(spark: SparkSession, docs: DataFrame, file: str, end: int, path:
     hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    recipes = raw_rows.filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "lengths")
+    recipes = raw_rows.filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "lengths", "root")
     parts = max(1, -(-recipes.count() // rows_in_file))
     # recipes are a few per cent of the ids; the numbering of the ranges is fixed by writing it
     ranged = save(spark, recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "ranges")
@@ -207,16 +266,8 @@ def write_store(spark: SparkSession, docs: DataFrame, file: str, end: int, path:
     offsets = spark.createDataFrame(before, "part int, before long")
     inside = W.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "names").rowsBetween(W.unboundedPreceding, -1)
     placed = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), "part")
-    placed = placed.withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "start", "n_tokens", "names", "lengths", "part")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [[x[i : i + NAME] for i in range(0, len(x), NAME)] for x in b.column(3).to_pylist()]
-            lengths = [np.frombuffer(x, "<i4").tolist() for x in b.column(4).to_pylist()]
-            yield pa.record_batch([*b.columns[:3], pa.array(names, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array([root_of(x) for x in names], pa.binary()), b.column(5)], names=["doc_id", "start", "n_tokens", "names", "lengths", "root", "part"])
-
-    done = placed.mapInArrow(finish, "doc_id long, start long, n_tokens long, names array<binary>, lengths array<int>, root binary, part int")
-    done.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
+    placed = placed.withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "start", "n_tokens", "names", "lengths", "root", "part")
+    placed.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     chunk_dir = f"{raw}/kind=chunk"
     if fs.exists(hadoop(chunk_dir)):
         # the chunk files stay as written: they are moved, and the columns that they have besides are not read
@@ -273,22 +324,34 @@ def checked_chunks(spark: SparkSession, store: Store) -> DataFrame:
     return store.chunks(spark).mapInArrow(f, "name binary, n_ids int, crc long")
 
 
+def names_of(packed: list[bytes]) -> pa.Array:
+    raw = b"".join(packed)
+    return pa.Array.from_buffers(pa.binary(NAME), len(raw) // NAME, [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def uses(spark: SparkSession, store: Store) -> DataFrame:
     """A row for each chunk of each document: doc_id, start, n_tokens, at, name, length, after (ids of
     the document that follow the chunk). A recipe whose names do not give its root is an error."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, start, n, names, lengths, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if root_of(names) != root or sum(lengths) != n:
+            if not len(b):
+                continue
+            packed = b.column(3).to_pylist()
+            length = np.frombuffer(b"".join(b.column(4).to_pylist()), "<i4").astype(np.int64)
+            size = np.array([len(x) // NAME for x in packed], np.int64)
+            for doc_id, names, root in zip(b.column(0).to_pylist(), packed, b.column(5).to_pylist(), strict=True):
+                if root_of([names[i : i + NAME] for i in range(0, len(names), NAME)]) != root:
                     raise ValueError(f"the recipe of document {doc_id} does not verify")
-                after = n
-                for at, (name, length) in enumerate(zip(names, lengths, strict=True)):
-                    after -= length
-                    for column, value in zip(out, (doc_id, start, n, at, name, length, after), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "start", "n_tokens", "at", "name", "length", "after"])
+            if len(length) != size.sum() or (size == 0).any() or (np.add.reduceat(length, np.cumsum(size) - size) != b.column(2).to_numpy()).any():
+                raise ValueError("the lengths of a recipe do not verify")
+            own = np.repeat(np.arange(len(b)), size)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            upto = np.cumsum(length)
+            ends = upto[np.cumsum(size) - 1] if len(own) else upto
+            after = np.repeat(ends, size) - upto
+            rows = b.select([0, 1, 2]).take(pa.array(own))
+            yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), pa.array(at.astype(np.int32)), names_of(packed), pa.array(length.astype(np.int32)), pa.array(after)], names=["doc_id", "start", "n_tokens", "at", "name", "length", "after"])
 
     recipes = store.recipes(spark).select("doc_id", "start", "n_tokens", "names", "lengths", "root")
     return recipes.mapInArrow(f, "doc_id long, start long, n_tokens long, at int, name binary, length int, after long")
