@@ -50,11 +50,16 @@ class Words:
     def __init__(self) -> None:
         self.up, self.down = powers(BASE), powers(INVERSE)
 
-    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of at most MOST bytes, and where they start."""
+    def of(self, data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of at most MOST bytes, and where they start; no word crosses a cut."""
         inside = IN_WORD[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[[0, -1]] = True
+        if cuts is not None:
+            cut[cuts] = True
+        gap = np.concatenate([[True], ~inside, [True]])
+        starts = np.flatnonzero(inside & (cut[:-1] | gap[:-2]))
+        ends = np.flatnonzero(inside & (cut[1:] | gap[2:])) + 1
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((LOWER[data] + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64, out=sums[1:])
         return mixed((sums[ends] - sums[starts]) * self.down[starts]), starts
@@ -67,7 +72,7 @@ class Words:
             to = int(np.searchsorted(offsets, offsets[at] + MOST, "right")) - 1
             if to > at:
                 lo = offsets[at]
-                words, starts = self.of(data[lo : offsets[to]])
+                words, starts = self.of(data[lo : offsets[to]], offsets[at : to + 1] - lo)
                 yield at, to, words, np.searchsorted(offsets[at : to + 1] - lo, starts, "right") - 1
                 at = to
                 continue
