@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_of
+from palisade.llm.common import released, text_of
 
 UNIT = 4096
 #: The byte that stands before a text.
@@ -110,8 +110,10 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters = np.zeros(256, bool)
     letters[[*range(65, 91), *range(97, 123)]] = True
-    sums = np.concatenate([[0], np.cumsum(letters[data], dtype=np.int64)])
-    found = sums[offsets[1:]] > sums[offsets[:-1]]
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    found = np.zeros(len(texts), bool)
+    if len(full):
+        found[full] = np.logical_or.reduceat(letters[data], offsets[full])
     for i in np.flatnonzero(~found & (offsets[1:] > offsets[:-1])):
         found[i] = any(map(str.isalpha, texts[int(i)].as_py()))
     return found
@@ -171,6 +173,7 @@ def languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Dat
         for b in batches:
             lang, score, bits = predict(model.value, b.column(2))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+        released()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(f, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
@@ -186,6 +189,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, m
         for b in batches:
             lang, _, bits = predict(model.value, b.column(place))
             yield b.filter(pa.array(np.array([x != "und" for x in lang], bool) & (bits <= most_bits)))
+        released()
 
     # positions, not names: names may repeat a reserved word or differ in case only
     return docs.mapInArrow(f, docs.schema)
