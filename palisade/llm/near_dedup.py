@@ -6,12 +6,14 @@ the probability of their weighted Jaccard similarity. Texts that agree in all RO
 share a bucket. At similarity 0.8 that happens in some band with probability 0.998, at 0.85 with
 0.9999.
 
-Texts with equal words are one node. In a bucket each node is compared with a pivot only, by the exact
-weighted Jaccard similarity; those that pass are linked. Nodes that end up in another component than
-their pivot are pivots themselves in the next round, a few for each bucket at a time, against all nodes
-of the bucket in other components, until none is left: so every pair that shares a bucket is either
-connected or has been compared, or cannot be similar by the triangle inequality of the Jaccard
-distance, and no bucket is ever expanded into all its pairs.
+Texts with equal words are one node. In a bucket every node is compared with the first one, the pivot,
+by the exact weighted Jaccard similarity; those that pass are linked. Buckets whose nodes are in
+several components go on: the next few nodes are compared with the later ones in other components,
+then four times as many, and so on. Two exact bounds leave out pairs that cannot be similar: the
+triangle inequality of the Jaccard distance to the pivot, and the weight of the shingles that no other
+node has, which no overlap can contain. So every pair that shares a bucket is connected, compared, or
+ruled out; no pairs are made inside a component, and a bucket of near-duplicates is done after a round
+or two.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palisade.llm.common import identified, lookup, packed, save, text_of, unpacked
+from palisade.llm.common import few, identified, lookup, packed, save, scanned, text_of, unpacked
 from palisade.llm.components import components
 from palisade.llm.shingles import BUCKETS, Words, document_frequencies, inverse_frequencies, split_at_texts, weighted, weighted_jaccard
 from palisade.llm.suffix_dedup import utf8
@@ -34,8 +36,9 @@ BANDS, ROWS = 12, 4
 SIMILAR = 0.8
 #: Elements whose samples are drawn at once.
 DRAWN = 1 << 15
-#: Pivots of a bucket in one round, and nodes that one copy of a pivot is compared with.
-PIVOTS, COMPARED = 16, 256
+#: By how much the nodes of a bucket grow that are compared in a round, and from how many on almost all are;
+#: how many nodes one copy of a node's text is compared with.
+GROWTH, MANY, COMPARED = 4, 64, 256
 
 
 def gamma_quantiles(n: int) -> np.ndarray:
@@ -140,7 +143,7 @@ def similarities(idf):
 def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """pairs (pivot, uid) with their similarity. A pivot's text goes out once for every COMPARED nodes."""
     deals = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("deals"))
-    dealt = pairs.join(deals, "pivot").withColumn("deal", F.pmod(F.hash("uid"), F.col("deals"))).select("pivot", "deal", "uid")
+    dealt = save(spark, pairs.join(deals, "pivot").withColumn("deal", F.pmod(F.hash("uid"), F.col("deals"))).select("pivot", "deal", "uid"), "dealt")
     others = dealt.join(texts, "uid").select("pivot", "deal", "uid", "text")
     own = dealt.select("pivot", "deal").distinct().join(texts.withColumnRenamed("uid", "pivot"), "pivot").select("pivot", "deal", F.lit(None).cast("binary").alias("uid"), "text")
     rows = own.unionByName(others).repartition("pivot", "deal").sortWithinPartitions("pivot", "deal", F.col("uid").asc_nulls_first())
@@ -156,46 +159,96 @@ def frequencies(spark: SparkSession, texts: DataFrame):
     return spark.sparkContext.broadcast(inverse_frequencies(counts, texts.count()))
 
 
+def own_shingles(idf):
+    """(uid, text) to a row for each distinct shingle of each text: shingle, uid, weight."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for at, to, hashes, text in words.parts(*utf8(b.column(1))):
+                of, shingles, weights = weighted(hashes, text, to - at, idf.value)
+                yield pa.record_batch([pa.array(shingles.view(np.int64)), b.column(0).take(pa.array(of + at)), pa.array(weights)], names=["shingle", "uid", "weight"])
+
+    return f
+
+
+def bounds(texts: DataFrame, idf) -> DataFrame:
+    """uid, total (the weight of all shingles of a text) and shared (of those that another text of
+    `texts` has too): the overlap with any other text is at most `shared`."""
+    each = texts.mapInArrow(own_shingles(idf), "shingle long, uid binary, weight double")
+    by = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.sum("weight").alias("weight"))
+    alone = by.filter("n = 1").groupBy("uid").agg(F.sum("weight").alias("alone"))
+    totals = texts.mapInArrow(own_totals(idf), "uid binary, total double")
+    return totals.join(alone, "uid", "left").select("uid", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
+def own_totals(idf):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            totals = np.zeros(len(b))
+            for at, to, hashes, text in words.parts(*utf8(b.column(1))):
+                of, _, weights = weighted(hashes, text, to - at, idf.value)
+                totals[at:to] = np.bincount(of, weights, to - at)
+            yield pa.record_batch([b.column(0), pa.array(totals)], names=["uid", "total"])
+
+    return f
+
+
+def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("of", F.coalesce("component", "uid")).drop("component")
+
+
 def linked(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> DataFrame | None:
     """node and component for the nodes (uid, bands) that are similar to another one; None without any."""
     entries = nodes.select("uid", F.posexplode("bands").alias("band", "bucket"))
     full = entries.groupBy("band", "bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = save(spark, entries.join(full, ["band", "bucket"]), "buckets")
-    pairs = save(spark, members.filter("uid <> pivot").select("pivot", "uid").distinct(), "pairs")
+    n = members.count()
+    pairs = save(spark, few(members.filter("uid <> pivot").select("pivot", "uid").distinct(), n), "pairs")
     if pairs.isEmpty():
         return None
-    wanted = members.select("uid").distinct()
-    texts = save(spark, texts.join(wanted.hint("shuffle_hash"), "uid"), "texts")
-    compared = verified(spark, pairs, texts, idf)
-    to_pivot = compared
-    turns = None  # nodes that have been pivots of a bucket
+    texts = save(spark, texts.join(members.select("uid").distinct().hint("shuffle_hash"), "uid"), "texts")
+    compared = first = verified(spark, pairs, texts, idf)
+    taken = 0  # nodes of each open bucket, in the order of uid, that have been compared with all that follow
+    found = None
     while True:
-        links = compared.filter(F.col("similarity") >= SIMILAR).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-        found = components(spark, links)
-        # every member with its component, and its similarity to the bucket's pivot
-        part = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
-        of = members.join(part("uid", "of"), "uid", "left").join(part("pivot", "home"), "pivot", "left")
-        of = of.select("band", "bucket", "pivot", "uid", F.coalesce("of", "uid").alias("of"), F.coalesce("home", "pivot").alias("home"))
-        strays = of.filter("of <> home")
-        if turns is not None:
-            strays = strays.join(turns, ["band", "bucket", "uid"], "left_anti")
-        place = W.partitionBy("band", "bucket").orderBy("uid")
-        turn = save(spark, strays.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= PIVOTS).select("band", "bucket", "pivot", "uid", "of"), "strays")
-        if turn.isEmpty():
+        if found is None:
+            found = components(spark, compared.filter(F.col("similarity") >= SIMILAR).select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
+        of = with_components(members, found)
+        # buckets whose nodes are in several components, and are not all compared
+        still = few(of, n).groupBy("band", "bucket").agg(F.min("of").alias("a"), F.max("of").alias("z"), F.count(F.lit(1)).alias("n")).filter((F.col("a") != F.col("z")) & (F.col("n") > taken)).select("band", "bucket")
+        left = save(spark, few(of.join(few(still, n), ["band", "bucket"], "left_semi"), n), "open")
+        if left.isEmpty():
             return found
-        done = turn.select("band", "bucket", "uid")
-        turns = save(spark, done if turns is None else turns.unionByName(done), "turns")
-        # the triangle inequality: two nodes whose distances to the pivot differ by more than 1 - SIMILAR are not similar
-        far = to_pivot.select("pivot", "uid", (1 - F.col("similarity")).alias("far"))
-        one = turn.join(far, ["pivot", "uid"]).select("band", "bucket", F.col("uid").alias("x"), F.col("of").alias("x_of"), F.col("far").alias("x_far"))
-        other = of.join(turn.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi").filter("uid <> pivot").join(far, ["pivot", "uid"]).select("band", "bucket", F.col("uid").alias("y"), F.col("of").alias("y_of"), F.col("far").alias("y_far"))
-        new = one.join(other, ["band", "bucket"]).filter((F.col("x_of") != F.col("y_of")) & (F.abs(F.col("x_far") - F.col("y_far")) <= 1 - SIMILAR + 1e-9))
-        new = new.select(F.col("x").alias("pivot"), F.col("y").alias("uid")).distinct()
-        old = compared.select("pivot", "uid")
-        old = old.unionByName(old.select(F.col("uid").alias("pivot"), F.col("pivot").alias("uid")))
-        new = save(spark, new.join(old, ["pivot", "uid"], "left_anti"), "pairs")
+        if not taken:
+            limit = save(spark, bounds(texts.join(left.select("uid").distinct(), "uid"), idf).filter(F.col("shared") >= SIMILAR * F.col("total") * (1 - 1e-9)), "bounds")
+            far = first.select("pivot", "uid", (1 - F.col("similarity")).alias("far"))
+            # only nodes that can have a partner go on, in the open buckets, with what the pairs need
+            limit = limit.join(nodes.select("uid", "bands"), "uid").select("*", F.posexplode("bands").alias("band", "bucket"))
+            open_buckets = few(left.select("band", "bucket", "pivot").distinct(), n)
+            members = limit.join(open_buckets, ["band", "bucket"]).join(far, ["pivot", "uid"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+            members = save(spark, few(members, n), "open")
+            left = with_components(members, found)
+        upto = taken * GROWTH + 1 if taken < MANY else taken * MANY
+        turn = left.withColumn("turn", F.row_number().over(W.partitionBy("band", "bucket").orderBy("uid"))).filter(F.col("turn") <= upto).filter(F.col("turn") > taken)
+        taken = upto
+        kept = ("uid", "of", "far", "total", "shared", "bands")
+        x = turn.select("band", "bucket", *[F.col(k).alias(f"x_{k}") for k in kept])
+        y = left.select("band", "bucket", *[F.col(k).alias(f"y_{k}") for k in kept])
+        # a similarity of s needs an overlap of s / (1 + s) of the two totals
+        most = F.least("x_shared", "y_shared") >= (F.col("x_total") + F.col("y_total")) * (SIMILAR / (1 + SIMILAR)) * (1 - 1e-9)
+        near = F.abs(F.col("x_far") - F.col("y_far")) <= 1 - SIMILAR + 1e-9
+        # a pair that meets in several bands is made in the first of them
+        met = F.exists(F.slice(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
+        new = x.join(y, ["band", "bucket"]).filter((F.col("y_uid") > F.col("x_uid")) & (F.col("x_of") != F.col("y_of")) & near & most & ~met)
+        new = new.select(F.col("x_uid").alias("pivot"), F.col("y_uid").alias("uid")).distinct()
+        new = save(spark, new.join(compared, ["pivot", "uid"], "left_anti"), "pairs")
         if not new.isEmpty():
-            compared = save(spark, compared.unionByName(verified(spark, new, texts, idf)), "compared")
+            answers = verified(spark, new, texts, idf)
+            compared = compared.unionByName(answers)
+            if not answers.filter(F.col("similarity") >= SIMILAR).isEmpty():
+                found = None  # there are new links
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -207,7 +260,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     holds for one row of each class, that of the smallest doc_id (null last). An empty table gives no
     rows.
     """
-    texts = identified(spark, docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
+    docs = scanned(spark, docs)
+    texts = identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
     idf = frequencies(spark, texts)
     rows = save(spark, texts.mapInArrow(signatures(idf), "uid binary, doc_id long, words binary, bands array<long>").withColumn("salt_of", F.spark_partition_id()), "signatures")
     nodes = save(spark, rows.filter("words IS NOT NULL").groupBy("words").agg(F.min(F.struct("uid", "bands")).alias("one")).select("words", "one.uid", "one.bands"), "nodes")
@@ -223,5 +277,6 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that classes() keeps, with their columns."""
+    docs = scanned(spark, docs)
     gone = classes(spark, docs).filter(~F.col("kept")).select("uid")
-    return unpacked(packed(spark, docs).join(gone.hint("shuffle_hash"), "uid", "left_anti"), docs.columns)
+    return unpacked(packed(docs).join(gone.hint("shuffle_hash"), "uid", "left_anti"), docs.columns)
