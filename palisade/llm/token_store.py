@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,15 +157,16 @@ class Pieces(dict):
         self.clear()
 
 
-def once(make: Callable):
-    made: list = []
+ENCODERS: dict[tuple[int, int, int], Encoder] = {}
 
-    def get():
-        if not made:
-            made.append(make())
-        return made[0]
 
-    return get
+def encoder_for(spec: str, end: int) -> Encoder:
+    """The Encoder of this Python worker; it lives on from task to task."""
+    key = (zlib.crc32(spec.encode()), len(spec), end)
+    if key not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[key] = Encoder(spec, end)
+    return ENCODERS[key]
 
 
 @dataclass(frozen=True)
@@ -195,10 +196,9 @@ def root_of(leaves: list[bytes]) -> bytes:
 def encoded(spark: SparkSession, docs: DataFrame, file: str, end: int) -> DataFrame:
     """Rows of two kinds in one pass: chunks (key, data), and recipes (data null)."""
     spec = spark.sparkContext.broadcast(file)
-    get = once(lambda: Encoder(spec.value, end))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sent = get(), set()
+        encoder, sent = encoder_for(spec.value, end), set()
         width = encoder.dtype.itemsize
         for whole in batches:
             for b in (whole.slice(i, HELD) for i in range(0, len(whole), HELD)):
@@ -220,9 +220,7 @@ def encoded(spark: SparkSession, docs: DataFrame, file: str, end: int) -> DataFr
                     for column, value in zip(out, (zlib.crc32(own) ^ ((doc_id or 0) & 0xFFFFFF), doc_id, None, None, last, own, np.array(lengths, "<i4").tobytes(), root_of(names)), strict=True):
                         column.append(value)
                 yield pa.record_batch(list(out), schema=ARROW)
-        # idle workers hold no memory while other stages run
-        for _ in range(2):
-            encoder.known.turn()
+        # idle workers hold little memory while other stages run
         sent.clear()
         released()
 
