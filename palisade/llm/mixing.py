@@ -24,13 +24,11 @@ from palisade.llm.common import identified, packed, ranked, save, scanned, unpac
 
 FRAME = 1 << 14
 BLOCK = 8
-#: The largest share of one source, where the caller gives no weights.
-MOST = 0.25
 
 
-def natural_weights(sizes: Mapping[str | None, int], most: float = MOST) -> dict[str | None, Fraction]:
-    """Shares in proportion to the sizes, but none above `most` (or an equal share, if that is more):
-    what is cut off goes to the others in proportion."""
+def natural_weights(sizes: Mapping[str | None, int], most: float = 1.0) -> dict[str | None, Fraction]:
+    """Shares in proportion to the sizes, so that all sources run dry together. With a lower `most`, none is
+    above it (or an equal share, if that is more): what is cut off goes to the others in proportion."""
     left = {k: n for k, n in sizes.items() if n > 0}
     most = max(Fraction(most).limit_denominator(10_000), Fraction(1, max(len(left), 1)))
     out: dict[str | None, Fraction] = {}
