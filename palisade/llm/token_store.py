@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,8 @@ REMEMBERED, SENT = 300_000, 100_000
 #: Documents whose ids a worker holds at once.
 HELD = 256
 NAME = 16
+#: A capital before what may be a combining mark (the first is U+0300, bytes CC 80).
+MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 SYMBOLS = byte_symbols()
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 1 << 16, np.uint64)
 ROWS = T.StructType([T.StructField("route", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("root", T.BinaryType())])
@@ -81,7 +84,9 @@ class Encoder:
 
     A new piece of letters only (with a full stop or comma after it, maybe) is one word of the
     vocabulary's model, which gets it as it is after normalisation; other pieces go through the whole
-    tokenizer. Letters are in lower case for both, as the vocabulary has it.
+    tokenizer. ASCII letters are put in lower case before, as the vocabulary has it, but in no text where
+    that may give other ids: where a special string stands in any case (they are matched on the text as
+    it is), or a combining mark may follow a capital (they are composed before the case is lowered).
     """
 
     def __init__(self, spec: str, end: int):
@@ -96,6 +101,7 @@ class Encoder:
         self.of_id = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.model = self.tokenizer.model
         self.words = self.single_words()
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Pieces(self)
         self.marks = {m[0]: self.whole(m) for m in (b".", b",")}
 
@@ -120,7 +126,7 @@ class Encoder:
             tail = self.marks.get(piece[-1])
             word = piece if tail is None else piece[:-1]
             if word.isalpha():  # ASCII letters
-                return self.word(word) + (tail or b"")
+                return self.word(word.lower()) + (tail or b"")
             text = word.decode()
             # of Latin-1 letters the lower case is beyond doubt, and they are composed already
             if text.isalpha() and max(text) < "\u0100":
@@ -133,7 +139,11 @@ class Encoder:
             known.turn()
         for text in texts:
             raw = text.encode("utf-8")
-            pieces = (raw.lower() if self.words else raw).replace(b"\n", b" ").split(b" ")
+            if self.words:
+                low = raw.lower()
+                if not any(x in low for x in self.special) and (raw.isascii() or not MARKED.search(raw)):
+                    raw = low
+            pieces = raw.replace(b"\n", b" ").split(b" ")
             yield b"".join([known[p] for p in pieces]) + self.end
 
 
