@@ -4,7 +4,7 @@ Each document's ids (and its end id) are cut into chunks where a rolling hash of
 its low bits clear, so equal passages mostly give equal chunks wherever they stand. A chunk is named by a
 128-bit digest of its bytes and stored once; a document is a recipe, the names and lengths of its
 chunks. Merkle manifests verify: a chunk's name is its leaf, a document's root is the digest of its
-leaves, and the manifest has a root for each recipe file, and one over all.
+leaves, the manifest has the root of a tree over the documents of each recipe file, and one root is over all.
 
 Layout of a store, all Parquet, in a folder that driver and executors share:
 
@@ -14,6 +14,7 @@ Layout of a store, all Parquet, in a folder that driver and executors share:
              before), n_tokens, names (16 bytes each), lengths (little-endian 32-bit integers),
              root; sorted
   manifest/  part, documents, n_tokens, root
+  root/      documents, n_tokens, root: of the whole store
 """
 
 from __future__ import annotations
@@ -284,11 +285,43 @@ def write_store(spark: SparkSession, docs: DataFrame, file: str, end: int, path:
         spark.createDataFrame([], "key binary, data binary").write.parquet(f"{path}/chunks")
     fs.delete(hadoop(raw), True)
     store = Store(path, dtype)
-    roots = store.recipes(spark).groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.unhex(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"])), 256)).alias("root"))
-    roots.write.parquet(f"{path}/manifest")
+    made = part_roots(spark, store).collect()  # a row for each file
+    spark.createDataFrame(made, MANIFEST).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([whole_root(made)], "documents long, n_tokens long, root binary").write.parquet(f"{path}/root")
     return store
 
 
+MANIFEST = "part int, documents long, n_tokens long, root binary"
+
+
+def part_roots(spark: SparkSession, store: Store) -> DataFrame:
+    """The manifest, from the recipes: a leaf of a part's tree is the digest of a document's id, start,
+    n_tokens and root."""
+
+    def f(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("start")
+        ids, starts, sizes, roots = (rows.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root"))
+        leaves = [name_of(f"{i} {at} {n} ".encode() + root) for i, at, n, root in zip(ids, starts, sizes, roots, strict=True)]
+        return pa.table([rows.column("part")[:1], pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64()), pa.array([root_of(leaves)], pa.binary())], names=["part", "documents", "n_tokens", "root"])
+
+    return store.recipes(spark).select("part", "doc_id", "start", "n_tokens", "root").groupBy("part").applyInArrow(f, MANIFEST)
+
+
+def whole_root(parts: list) -> tuple[int, int, bytes]:
+    """Documents, n_tokens and root of a store, from the rows of its manifest."""
+    parts = sorted(parts, key=lambda r: r["part"])
+    return sum(r["documents"] for r in parts), sum(r["n_tokens"] for r in parts), root_of([bytes(r["root"]) for r in parts])
+
+
+def verify(spark: SparkSession, store: Store) -> None:
+    """An error, if the recipes do not give the manifest, or the manifest does not give the root over all."""
+    rows = lambda df: sorted((r["part"], r["documents"], r["n_tokens"], bytes(r["root"])) for r in df.collect())
+    found, manifest = rows(part_roots(spark, store)), store.manifest(spark)
+    whole = spark.read.schema("documents long, n_tokens long, root binary").parquet(f"{store.path}/root").first()
+    if found != rows(manifest) or whole is None or whole_root(manifest.collect()) != (whole["documents"], whole["n_tokens"], bytes(whole["root"])):
+        raise ValueError("the manifest of the store does not verify")
+
+
 POLY = 0xEDB88320
 
 
@@ -369,8 +402,10 @@ def read_checksums(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files.
 
     A document's CRC-32 is the exclusive or of its chunks' CRCs, each shifted by the bytes that
-    follow, so chunks are read and verified where they lie and only their CRCs travel.
+    follow, so chunks are read and verified where they lie and only their CRCs travel. Recipes are
+    verified against the manifest before.
     """
+    verify(spark, store)
     found = uses(spark, store).join(checked_chunks(spark, store), "name", "left")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
