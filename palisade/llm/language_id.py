@@ -179,16 +179,15 @@ def languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Dat
     return rows.mapInArrow(f, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, most_bits: float = 8.0) -> DataFrame:
-    """The rows of docs in a learned language, with their columns: `und` rows go, and those that the
-    best model codes with over most_bits a byte, as many as without any model."""
+def keep_languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs in a learned language, with their columns; only `und` rows go."""
     model = spark.sparkContext.broadcast(learn(spark, docs, sample))
     place = docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, _, bits = predict(model.value, b.column(place))
-            yield b.filter(pa.array(np.array([x != "und" for x in lang], bool) & (bits <= most_bits)))
+            lang, _, _ = predict(model.value, b.column(place))
+            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
         released()
 
     # positions, not names: names may repeat a reserved word or differ in case only
