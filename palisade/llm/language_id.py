@@ -162,7 +162,8 @@ def learn(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
 def languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte for each row of docs (doc_id, text, lang).
 
-    A null text or one without a letter is `und` with score 0; so is everything if no row has a
+    The LANGUAGES most frequent values of lang are learned; a document of any other value is given one of
+    those. A null text or one without a letter is `und` with score 0; so is everything if no row has a
     language. score is the winner's share of 2 ** -code length over the languages. Repeated rows get
     a result each; an empty table gives none; ids, languages and sources are not inputs of a
     prediction.
