@@ -3,9 +3,11 @@ to rows that stand hot groups, and ranks without a window over a whole group."""
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -30,8 +32,66 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders of intermediate tables that are still there: a list for each tidy() call under way, at the bottom
+#: those that a frame given to the caller reads.
+WRITTEN: list[list[str]] = [[]]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/palisade/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/palisade/{name}-{uuid.uuid4().hex}"
+    WRITTEN[-1].append(path)
+    return path
+
+
+def leaves(df: DataFrame) -> list:
+    """The scans of df's plan, as the JVM has them."""
+    found = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def roots(leaf) -> list[str]:
+    """The paths that a scan was made from; none if it is not one of files."""
+    if leaf.nodeName() != "LogicalRelation" or not hasattr(leaf.relation(), "location"):
+        return []
+    paths = leaf.relation().location().rootPaths()
+    return [paths.apply(i).toString() for i in range(paths.size())]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, with its intermediate tables deleted, but for those that the frame it returns reads.
+
+    What such a frame reads stays until forget(), as nothing tells when the last frame made from it is done.
+    """
+
+    @functools.wraps(operator)
+    def f(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        WRITTEN.append([])
+        try:
+            out = operator(spark, *args, **kwargs)
+            read = {r.split(":", 1)[-1].lstrip("/") for leaf in leaves(out) for r in roots(leaf)}
+            for path in WRITTEN[-1][:]:
+                own = path.split(":", 1)[-1].lstrip("/")
+                if not any(r == own or r.startswith(own + "/") for r in read):
+                    delete(spark, path)
+                    WRITTEN[-1].remove(path)
+            return out
+        finally:
+            WRITTEN[-2].extend(WRITTEN.pop())
+
+    return f
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all frames that operators have returned so far; for when their
+    results are written."""
+    for path in WRITTEN[0]:
+        delete(spark, path)
+    WRITTEN[0].clear()
 
 
 def save(spark: SparkSession, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -52,13 +112,27 @@ def row_name(frame: DataFrame) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(meta["file_path"])), 16, "0"), F.lpad(F.hex(meta["row_index"]), 16, "0")))
 
 
-def scanned(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df if it is a scan of files, else df written to the shared folder and read again."""
+def plain(df: DataFrame) -> bool:
+    """Whether df is a scan of files, each read once, with projections and filters over it at most: then a
+    row's file and its place in it name the row. A row that is exploded or joined may come several times."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    paths = [p.rstrip("/") + "/" for p in roots(plan)]
+    if not paths or any(a.startswith(b) for i, a in enumerate(paths) for j, b in enumerate(paths) if i != j):
+        return False
     try:
         df.select(row_name(df))
-        return df
     except AnalysisException:
-        return save(spark, df, "rows")
+        return False
+    return True
+
+
+def scanned(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df if it is a plain() scan of files, else df written to the shared folder and read again."""
+    return df if plain(df) else save(spark, df, "rows")
 
 
 def identified(df: DataFrame, columns: list[Column]) -> DataFrame:

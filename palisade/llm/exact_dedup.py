@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, lookup, packed, save, scanned, text_of, unpacked
+from palisade.llm.common import identified, lookup, packed, save, scanned, text_of, tidy, unpacked
 
 RADIX = 8
 DIGEST, RECORD = 32, 73
@@ -151,6 +151,7 @@ def digest_columns(text: Column, doc_id: Column) -> list[Column]:
     return [F.spark_partition_id().alias("slot"), doc_id.cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(normalised(text), "utf-8"), 256)).alias("digest"), F.char_length(text).cast("long").alias("length")]
 
 
+@tidy
 def exact_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -164,6 +165,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return decided(spark, digests).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@tidy
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_copies() keeps, with their columns."""
     docs = scanned(spark, docs)

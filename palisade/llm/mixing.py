@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palisade.llm.common import identified, packed, ranked, save, scanned, unpacked
+from palisade.llm.common import identified, packed, ranked, save, scanned, tidy, unpacked
 
 FRAME = 1 << 14
 BLOCK = 8
@@ -218,6 +218,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["doc_id"].cast("string")).alias("spread")])
 
 
+@tidy
 def mixture(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """doc_id, source, block, place (in the source), slot and selected for each row of docs (doc_id, source).
 
@@ -230,6 +231,7 @@ def mixture(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, f
     return scheduled(spark, keyed(docs), weights, block, frame).select("doc_id", "source", "block", "place", "slot", "selected")
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The selected rows of docs in the order of the mix, with their columns."""
     docs = scanned(spark, docs)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palisade.llm.common import few, identified, lookup, packed, save, scanned, text_of, unpacked
+from palisade.llm.common import few, identified, lookup, packed, save, scanned, text_of, tidy, unpacked
 from palisade.llm.components import components
 from palisade.llm.shingles import BUCKETS, Words, document_frequencies, inverse_frequencies, split_at_texts, weighted, weighted_jaccard
 from palisade.llm.suffix_dedup import utf8
@@ -251,6 +251,7 @@ def linked(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> Data
                 found = None  # there are new links
 
 
+@tidy
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """uid, doc_id, class_id (the smallest doc_id of the class), class_size, links and kept for each row
     of docs (doc_id, text).
@@ -275,6 +276,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("uid", "doc_id", "class_id", "class_size", (F.col("class_size") - 1).alias("links"), (F.col("uid") == F.col("kept_uid")).alias("kept"))
 
 
+@tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that classes() keeps, with their columns."""
     docs = scanned(spark, docs)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palisade.llm.common import identified, save, scanned
+from palisade.llm.common import identified, save, scanned, tidy
 
 DIMENSIONS, SURE, SEED = 12, 0.98, 11
 #: Rows of a shard, queries of a block, rows of a leaf, rows that the top of the tree is fitted on.
@@ -175,6 +175,7 @@ def search(dim: int, k: int, quantile: float):
     return f
 
 
+@tidy
 def neighbours(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of each row of table (vec_id, embedding)
     whose vec_id is divisible by `every`, among all other rows; ties to the smaller vec_id.

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, ranked, save, scanned
+from palisade.llm.common import identified, ranked, save, scanned, tidy
 from palisade.llm.token_count import LibraryMerges, with_token_counts
 
 EXACT = 2_048
@@ -71,6 +71,7 @@ def packed_lengths(spark: SparkSession, lengths: DataFrame, buckets: int = BUCKE
     return placed.withColumn("batch", batch).withColumn("place", F.col("place") - F.col("batch") * fit).withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch (in the bucket), place (in the batch) and padding
     for each row of docs (doc_id, text).

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.anchors import MOST, Anchors
-from palisade.llm.common import identified, save, scanned, text_of
+from palisade.llm.common import identified, save, scanned, text_of, tidy
 from palisade.llm.lyndon import common_prefixes, suffix_array
 
 WINDOW, CELL = 400, 25
@@ -274,6 +274,7 @@ def repeated_spans(spark: SparkSession, texts: DataFrame, large: int = LARGE) ->
     return every.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
+@tidy
 def without_repeats(spark: SparkSession, docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed for each row of docs (doc_id, text).
 

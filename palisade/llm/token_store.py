@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from palisade.llm.common import fresh_path, released, save, text_of
+from palisade.llm.common import fresh_path, released, save, text_of, tidy
 from palisade.llm.token_count import byte_symbols
 
 LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 32
@@ -432,6 +432,7 @@ def read_ids(spark: SparkSession, store: Store) -> DataFrame:
     return whole.mapInArrow(f, "doc_id long, start long, ids array<long>")
 
 
+@tidy
 def token_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """Write a store for docs with the tokenizers file at `tokenizer`, and read the checksums back."""
     with open(tokenizer, encoding="utf-8") as f:
