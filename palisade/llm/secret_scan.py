@@ -20,7 +20,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_of
+from palisade.llm.common import identified, scanned, text_of, tidy
 
 
 @dataclass(frozen=True)
@@ -148,21 +148,21 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
 
 def trigram_index(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
-    """block, gram and docs (the posting list) of texts (key, text); the grams are those that some
+    """block, gram and docs (the posting list) of texts (uid, text); the grams are those that some
     rule names, as no others are ever looked up."""
-    low = docs.select("key", F.lower("text").alias("low"))
-    found = low.select("key", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
-    return found.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("docs"))
+    low = docs.select("uid", F.lower("text").alias("low"))
+    found = low.select("uid", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+    return found.groupBy(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), "gram").agg(F.collect_list("uid").alias("docs"))
 
 
 def candidates(spark: SparkSession, index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """key and kinds: the rules whose trigram queries a document meets."""
+    """uid and kinds: the rules whose trigram queries a document meets."""
     terms = [(kind, at, g, len(q)) for kind, query in queries.items() for at, q in enumerate(query) for g in sorted(q)]
     table = spark.createDataFrame(terms, "kind string, at int, gram string, need int")  # the rules' own size
     lists = index.join(F.broadcast(table), "gram").groupBy("block", "kind", "at", "need").agg(F.collect_list("docs").alias("lists"))
     lists = lists.filter(F.size("lists") == F.col("need"))
-    common = F.aggregate(F.slice("lists", 2, 1_000), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
-    return lists.select("kind", F.explode(common).alias("key")).groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    common = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+    return lists.select("kind", F.explode(common).alias("uid")).groupBy("uid").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans(rule: Rule, text: Column) -> Column:
@@ -180,16 +180,18 @@ def spans(rule: Rule, text: Column) -> Column:
 def scan(spark: SparkSession, docs: DataFrame, rules: list[Rule], block: int = 512) -> DataFrame:
     """doc_id, and for each rule an array<struct<start, end>> named after its kind, for each row of docs.
 
-    Null texts count as empty and have no spans; repeated rows and null ids get a row each.
+    Null texts count as empty and have no spans; repeated rows and null ids get a row each; an empty table
+    gives no rows; further columns are not read, whatever their names.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ALL}
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("key"), text_of(docs).alias("text"))
+    docs = scanned(spark, docs)
+    rows = identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
     if indexed:
         grams = sorted({g for q in indexed.values() for alternative in q for g in alternative})
         index = trigram_index(rows, grams, max(1, -(-docs.count() // block)))
-        # texts are dealt by key once and not sorted: the candidates' side is hashed
-        rows = rows.join(candidates(spark, index, indexed).hint("shuffle_hash"), "key", "left")
+        # texts are dealt by row once and not sorted: the candidates' side is hashed
+        rows = rows.join(candidates(spark, index, indexed).hint("shuffle_hash"), "uid", "left")
     columns = []
     for r in rules:
         found = spans(r, F.col("text"))
@@ -208,6 +210,7 @@ def joined(kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(every), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@tidy
 def secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, the number of spans of each base kind, their digest, and all spans as text."""
     base = [r.kind for r in BASE]
