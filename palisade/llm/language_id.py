@@ -6,10 +6,13 @@ one of 256 equal codes (escape method C: an escape weighs as much as the distinc
 statistics are frozen after the fit, so a text's code length is a sum over its bytes; the language
 with the shortest code wins.
 
-The tree is compiled to one table of costs, indexed by the classes of the two bytes before and the
-byte itself (a class for each byte the sample holds, one for all others), with the costs of all
-languages side by side: one gather scores a byte under every language. Costs are integers in 1/4096
-bit, so sums are exact and do not hang on how rows are batched.
+The trees of all languages lie side by side in sparse tables: a row of costs, one for each language, for each
+string of up to three bytes that some sample holds, and rows of escapes for the contexts. A byte whose
+context and itself have a row is scored under every language by one lookup; any other escapes to the
+table of the next order. Costs are integers in 1/4096 bit, so sums are exact and do not hang on how rows are
+batched. The tables take 4 bytes for each language and distinct string, and so grow with the number of
+languages and what the bounded samples hold, not with the corpus (some 8,000 strings for a language in one
+script, a few hundred thousand for fifty in many).
 """
 
 from __future__ import annotations
@@ -30,76 +33,112 @@ UNIT = 4096
 BEFORE = 32
 #: Documents of one language that the fit uses, about; a bound on the sample whatever the corpus.
 SAMPLE = 300
-#: Languages that can be learned.
-LANGUAGES = 1000
 #: Bytes scored at once.
 SCORED = 1 << 20
 
 
+@dataclass(frozen=True)
+class Order:
+    """The strings of a context and a byte after it, for contexts of one length."""
+
+    pages: np.ndarray  # int32[contexts of this length]: the page of a context, 0 for one that no sample holds
+    rows: np.ndarray  # int32[pages, 256]: the row of a context and a byte, 0 where no sample holds them
+    costs: np.ndarray  # int32[rows, languages]
+    escapes: np.ndarray  # int32[pages, languages]
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    classes: np.ndarray  # uint8[256]
-    n_classes: int
-    costs: np.ndarray  # int32[n_classes ** 3, languages]
+    orders: list[Order]  # of contexts of 0, 1 and 2 bytes
+    lowest: int = 8 * UNIT
+
+
+def strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of `length` bytes that end at a byte of the texts, as numbers, and their counts."""
+    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(texts), 64):
+        parts = [found]
+        for t in texts[at : at + 64]:
+            c = np.frombuffer(bytes([BEFORE] * 2) + t, np.uint8).astype(np.int64)
+            parts.append(sum(c[3 - length + j : len(c) - length + j + 1] << 8 * (length - 1 - j) for j in range(length)))
+        weights = np.concatenate([counts, np.ones(sum(map(len, parts[1:])), np.int64)])
+        found, where = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(where, weights, len(found)).astype(np.int64)
+    return found, counts
 
 
 def fit(samples: dict[str, list[bytes]]) -> Model:
+    """The model of some texts of each language."""
     languages = sorted(samples)
-    seen = np.zeros(256, np.int64)
-    for texts in samples.values():
-        for t in texts:
-            seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    seen[BEFORE] += 1
-    own = np.flatnonzero(seen)
-    s = len(own) + 1
-    classes = np.full(256, s - 1, np.uint8)
-    classes[own] = np.arange(s - 1)
-    costs = np.zeros((s**3, len(languages)), np.int32)
-    for at, language in enumerate(languages):
-        order2 = np.zeros(s**3, np.int64)
-        for t in samples[language]:
-            c = classes[np.frombuffer(bytes([BEFORE] * 2) + t, np.uint8)].astype(np.int64)
-            order2 += np.bincount((c[:-2] * s + c[1:-1]) * s + c[2:], minlength=s**3)
-        order2 = order2.reshape(s, s, s)
-        order1 = order2.sum(0)
-        p = np.full(s, 1 / 256)
-        for counts in (order1.sum(0)[None], order1, order2.reshape(s * s, s)):
-            total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            lower = np.broadcast_to(p if p.ndim == 1 else np.tile(p, (len(counts) // len(p), 1)), counts.shape)
+    orders: list[Order] = []
+    for order in range(3):
+        own = [strings(samples[k], order + 1) for k in languages]
+        keys = np.unique(np.concatenate([k for k, _ in own])) if own else np.zeros(0, np.int64)
+        contexts = np.unique(keys >> 8)
+        pages = np.zeros(256**order, np.int32)
+        pages[contexts] = np.arange(1, len(contexts) + 1)
+        page = pages[keys >> 8]
+        rows = np.zeros((len(contexts) + 1, 256), np.int32)
+        rows[page, keys & 255] = np.arange(1, len(keys) + 1)
+        costs = np.zeros((len(keys) + 1, len(languages)), np.int32)
+        escapes = np.zeros((len(contexts) + 1, len(languages)), np.int32)
+        # of what is not in a sample, the codes of the order below
+        lower = code_of(orders, keys, len(languages)) if len(languages) else costs[1:]
+        for at, (found, counts) in enumerate(own):
+            total, distinct = np.bincount(pages[found >> 8], counts, len(contexts) + 1), np.bincount(pages[found >> 8], minlength=len(contexts) + 1)
             weight = np.maximum(total + distinct, 1)
             escape = np.where(total > 0, distinct / weight, 1.0)
-            p = np.where(counts > 0, counts / weight, escape * lower)
-        costs[:, at] = np.round(-np.log2(p).reshape(-1) * UNIT)
-    return Model(languages, classes, s, costs)
+            escapes[:, at] = np.round(-np.log2(escape) * UNIT)
+            costs[1:, at] = lower[:, at] + escapes[page, at]
+            costs[1 + np.searchsorted(keys, found), at] = np.round(-np.log2(counts / weight[pages[found >> 8]]) * UNIT)
+        orders.append(Order(pages, rows, costs, escapes))
+    return Model(languages, orders)
+
+
+def code_of(orders: list[Order], keys: np.ndarray, languages: int) -> np.ndarray:
+    """int32[keys, languages]: costs of the last byte of each string, after as much of its context as the
+    orders have."""
+    if not orders:
+        return np.full((len(keys), languages), 8 * UNIT, np.int32)
+    order = orders[-1]
+    context, byte = (keys >> 8) & (len(order.pages) - 1), keys & 255
+    page = order.pages[context]
+    row = order.rows[page, byte]
+    out = order.costs[row]
+    new = np.flatnonzero(row == 0)
+    if len(new):
+        out[new] = order.escapes[page[new]] + code_of(orders[:-1], keys[new], languages)
+    return out
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """int64[texts, languages]: code lengths in 1/UNIT bit. data: bytes; offsets: int64[texts + 1]."""
-    n, s = len(offsets) - 1, model.n_classes
-    out = np.zeros((n, len(model.languages)), np.int64)
+    n, k = len(offsets) - 1, len(model.languages)
+    out = np.zeros((n, k), np.int64)
+    scored = max(1, 4 * SCORED // max(k, 1))  # 4 * SCORED costs are held at once
     at = 0
     while at < n:
-        # whole texts of about SCORED bytes; a longer one is scored in pieces
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SCORED, "right")) - 1)
+        # whole texts of about `scored` bytes; a longer one is scored in pieces
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + scored, "right")) - 1)
         lo, hi = int(offsets[at]), int(offsets[to])
-        for a in range(lo, max(hi, lo + 1), 4 * SCORED):
-            b = min(hi, a + 4 * SCORED)
+        for a in range(lo, max(hi, lo + 1), scored):
+            b = min(hi, a + scored)
             if a == b:
                 continue
-            c = model.classes[data[max(lo, a - 2) : b]].astype(np.int32)
-            c = np.concatenate([np.full(2 - (a - max(lo, a - 2)), model.classes[BEFORE], np.int32), c])
+            c = data[max(lo, a - 2) : b].astype(np.int32)
+            c = np.concatenate([np.full(2 - (a - max(lo, a - 2)), BEFORE, np.int32), c])
             first = c[1:-1].copy()
             second = c[:-2].copy()
             starts = offsets[at:to]
             starts = starts[(starts >= a) & (starts < b) & (offsets[at + 1 : to + 1] > starts)] - a
-            first[starts] = second[starts] = model.classes[BEFORE]
+            first[starts] = second[starts] = BEFORE
             nexts = starts + 1
             nexts = nexts[nexts < b - a]
             nexts = nexts[~np.isin(nexts, starts)]
-            second[nexts] = model.classes[BEFORE]
-            costs = model.costs[(second * s + first) * s + c[2:]]
-            ends = np.zeros((b - a + 1, costs.shape[1]), np.int64)
+            second[nexts] = BEFORE
+            costs = code_of(model.orders, second << 16 | first << 8 | c[2:], k)
+            ends = np.zeros((b - a + 1, k), np.int64)
             np.cumsum(costs, axis=0, dtype=np.int64, out=ends[1:])
             l, r = np.clip(offsets[at:to] - a, 0, b - a), np.clip(offsets[at + 1 : to + 1] - a, 0, b - a)
             out[at:to] += ends[r] - ends[l]
@@ -144,26 +183,26 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the documents that are not held out: of each language those whose
-    id hashes lowest, `sample` on average if there are more (never over 4 * sample)."""
+    id and text hash lowest, `sample` on average if there are more; one at least. Every value of lang is
+    learned. Rows that repeat an id and its text count once."""
     usable = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
-    usable = usable.select(usable["lang"].cast("string").alias("lang"), F.xxhash64(usable["doc_id"].cast("string")).alias("spot"), text_of(usable).alias("text"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = usable.select(usable["lang"].cast("string").alias("lang"), F.xxhash64(usable["doc_id"].cast("string"), text_of(usable)).alias("spot"), text_of(usable).alias("text"))
+    counts = usable.groupBy("lang").count()
     share = F.shiftrightunsigned("spot", 12) / F.lit(2.0**52)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (share < min(1.0, sample / r["count"])))
+    low = usable.join(F.broadcast(counts), "lang").filter(share * F.col("count") < sample)  # a row for each language
+    rows = low.groupBy("lang", "spot").agg(F.min("text").alias("text")).select("lang", "text").collect()
+    missing = counts.join(spark.createDataFrame([(k,) for k in {r["lang"] for r in rows}], "lang string"), "lang", "left_anti")
+    rows += usable.join(F.broadcast(missing), "lang").groupBy("lang").agg(F.min(F.struct("spot", "text")).alias("x")).select("lang", "x.text").collect()
     samples: dict[str, list[bytes]] = {}
-    for r in usable.filter(wanted).select("lang", "text").toLocalIterator():
-        if len(texts := samples.setdefault(r["lang"], [])) < 4 * sample:
-            texts.append(r["text"].encode("utf-8"))
+    for r in rows:
+        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8"))
     return fit(samples)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte for each row of docs (doc_id, text, lang).
 
-    The LANGUAGES most frequent values of lang are learned; a document of any other value is given one of
-    those. A null text or one without a letter is `und` with score 0; so is everything if no row has a
+    A null text or one without a letter is `und` with score 0; so is everything if no row has a
     language. score is the winner's share of 2 ** -code length over the languages. Repeated rows get
     a result each; an empty table gives none; ids, languages and sources are not inputs of a
     prediction.
@@ -181,7 +220,9 @@ def languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Dat
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs in a learned language, with their columns; only `und` rows go."""
+    """The rows of docs in a learned language, with their columns, whatever their names; only `und` rows go:
+    null texts, texts without a letter, and all where nothing is learned. Repeated rows stay each; an empty
+    table gives no rows."""
     model = spark.sparkContext.broadcast(learn(spark, docs, sample))
     place = docs.columns.index("text")
 
