@@ -1,71 +1,76 @@
 """Packing by optimal length buckets.
 
-A histogram of all lengths is gathered, in classes: each length up to EXACT is one, above that a class
-spans 1/64 of its lengths, so there are a few thousand classes whatever the corpus. Dynamic programming
-chooses at most BUCKETS boundaries among the classes' greatest lengths, so that the padding, the sum
-over documents of their bucket's boundary minus their length, is least. Inside a bucket documents are
-dealt, in a hashed order, to batches of as many as the token budget holds at the bucket's length.
+A histogram of all lengths is gathered: a row for each distinct length, which the longest document bounds,
+however many documents there are. Dynamic programming chooses at most BUCKETS boundaries among the lengths,
+so that the padding, the sum over documents of their bucket's boundary minus their length, is least. Inside
+a bucket documents are dealt, in a hashed order, to batches of as many as the token budget holds at the
+bucket's length.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import accumulate
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import identified, ranked, save, scanned, tidy
 from palisade.llm.token_count import LibraryMerges, with_token_counts
 
-EXACT = 2_048
 BUCKETS, BUDGET = 16, 65_536
 
 
-def length_class(length: Column) -> Column:
-    """Lengths up to EXACT are classes of their own; above, the leading seven bits name the class."""
-    bits = F.length(F.bin(length)).cast("int")
-    step = F.pow(F.lit(2.0), F.greatest(bits - 7, F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.floor(length / step).cast("long") * step)
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """The boundaries (ascending, the last is the greatest length) that pad least, from distinct
-    lengths in ascending order and the documents of each; of equals, the fewest buckets."""
-    n = len(lengths)
-    if not n:
-        return []
-    held = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    tops = lengths.astype(np.float64)
-    # cost[j]: the least boundary total of the first j lengths; a bucket i..j-1 weighs its documents times its top
-    cost = np.concatenate([[0.0], np.full(n, np.inf)])
-    choices = []
-    best, used = np.inf, 0
-    for k in range(min(buckets, n)):
-        new, pick = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    lengths in ascending order and the documents of each; of equals, the fewest buckets.
+
+    A bucket of the lengths i..j-1 weighs its documents times the length j-1. So the best weight of the
+    first j lengths is the least of lines, one for each i, at the length j-1; their slopes fall as i grows and
+    the lengths rise, so the lower envelope of the lines is kept in a queue and each layer takes linear time.
+    """
+    tops, n = [int(x) for x in lengths], len(lengths)
+    held = [0, *accumulate(int(x) for x in counts)]
+    cost: list[int | None] = [0, *[None] * n]
+    choices, weights = [], []
+    for _ in range(min(buckets, n)):
+        new: list[int | None] = [None] * (n + 1)
+        pick = [0] * (n + 1)
+        envelope: deque[tuple[int, int, int]] = deque()  # slope, height, i
         for j in range(1, n + 1):
-            totals = cost[:j] + (held[j] - held[:j]) * tops[j - 1]
-            pick[j] = int(totals.argmin())
-            new[j] = totals[pick[j]]
+            if (height := cost[j - 1]) is not None:
+                slope = -held[j - 1]
+                # the last line goes if the one before it and this one are together never above it
+                while len(envelope) > 1 and (height - envelope[-2][1]) * (envelope[-2][0] - envelope[-1][0]) <= (envelope[-1][1] - envelope[-2][1]) * (envelope[-2][0] - slope):
+                    envelope.pop()
+                envelope.append((slope, height, j - 1))
+            x = tops[j - 1]
+            while len(envelope) > 1 and envelope[1][0] * x + envelope[1][1] < envelope[0][0] * x + envelope[0][1]:
+                envelope.popleft()
+            if envelope:
+                slope, height, pick[j] = envelope[0]
+                new[j] = slope * x + height + held[j] * x
         choices.append(pick)
+        weights.append(new[n])
         cost = new
-        if cost[n] < best:
-            best, used = cost[n], k + 1
     out, j = [], n
+    used = min(range(len(weights)), key=lambda k: weights[k], default=-1) + 1
     for pick in reversed(choices[:used]):
-        out.append(int(lengths[j - 1]))
-        j = int(pick[j])
+        out.append(tops[j - 1])
+        j = pick[j]
     return out[::-1]
 
 
 def packed_lengths(spark: SparkSession, lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """lengths (uid, doc_id, n_tokens; one row for each document) with bucket, bucket_length, batch,
     place and padding."""
-    lengths = lengths.withColumn("class", length_class(F.col("n_tokens")))
-    classes = lengths.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("top")).orderBy("class").collect()  # a few thousand
-    tops = boundaries(np.array([r["top"] for r in classes]), np.array([r["n"] for r in classes]), buckets)
+    histogram = sorted(map(tuple, lengths.groupBy("n_tokens").count().collect()))  # no more rows than the longest document has tokens
+    tops = boundaries(np.array([x for x, _ in histogram]), np.array([n for _, n in histogram]), buckets)
     ends = F.array(*[F.lit(t).cast("long") for t in tops]) if tops else F.array().cast("array<long>")
     bucket = F.size(F.filter(ends, lambda e: e < F.col("n_tokens"))).cast("int")
-    rows = lengths.withColumn("bucket", bucket).withColumn("bucket_length", F.get(ends, F.col("bucket"))).drop("class")
-    placed = ranked(rows, ["bucket"], ["doc_id", "uid"], total=sum(r["n"] for r in classes))
+    rows = lengths.withColumn("bucket", bucket).withColumn("bucket_length", F.get(ends, F.col("bucket")))
+    placed = ranked(rows, ["bucket"], ["doc_id", "uid"], total=sum(n for _, n in histogram))
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
     batch = F.floor(F.col("place") / fit).cast("long")
     return placed.withColumn("batch", batch).withColumn("place", F.col("place") - F.col("batch") * fit).withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
@@ -78,7 +83,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, buckets: int = B
 
     Lengths are token counts under the vocabulary file. A document longer than the budget is a batch
     of its own, whole; null and empty texts have length 0. Repeated rows are packed each; an empty
-    table gives no rows.
+    table gives no rows; further columns are not read, whatever their names.
     """
     docs = scanned(spark, docs)
     counted = with_token_counts(spark, identified(docs, [docs["doc_id"], docs["text"]]), vocabulary, "uid", merges=LibraryMerges)
