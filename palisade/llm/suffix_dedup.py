@@ -219,10 +219,11 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans."""
+    """(doc_id, text, spans) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, the text that is left
+    and the removed spans."""
     for b in batches:
         data, offsets = utf8(b.column(1))
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
         for i, spans in enumerate(b.column(2).to_pylist()):
             own = data[offsets[i] : offsets[i + 1]].tobytes()
             runs: list[list[int]] = []
@@ -236,9 +237,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(own[at:a])
                 at = z
             rest = b"".join([*kept, own[at:]])
-            for column, value in zip(out, (len(own), len(own) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), [{"start": a, "stop": z} for a, z in runs]), strict=True):
+            for column, value in zip(out, (len(own), len(own) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), len(rest), rest.decode("utf-8", "ignore"), [{"start": a, "stop": z} for a, z in runs]), strict=True):
                 column.append(value)
-        yield pa.record_batch([b.column(0), *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+        yield pa.record_batch([b.column(0), *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text", "removed"])
 
 
 def repeated_spans(spark: SparkSession, texts: DataFrame, large: int = LARGE) -> DataFrame:
@@ -276,7 +277,10 @@ def repeated_spans(spark: SparkSession, texts: DataFrame, large: int = LARGE) ->
 
 @tidy
 def without_repeats(spark: SparkSession, docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed for each row of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, text and removed for each row of docs
+    (doc_id, text).
+
+    n_kept bytes are left; text is those, without the parts of a character that was cut through.
 
     A byte is removed if a window of WINDOW bytes that covers it also starts somewhere else, in this
     row or another one; removed lists the maximal removed runs. Texts are UTF-8 bytes as they were put
@@ -288,4 +292,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, large: int = LARGE) ->
     spans = save(spark, repeated_spans(spark, texts, large), "spans")
     rows = identified(docs, [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")])
     joined = rows.join(spans.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,stop:int>>")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string, removed array<struct<start:int,stop:int>>")
