@@ -20,14 +20,18 @@ Layout of a store, all Parquet, in a folder that driver and executors share:
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +42,14 @@ from palisade.llm.token_count import byte_symbols
 
 LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 32
 #: Pieces whose ids a Python worker remembers, and chunk names that it has sent already.
-REMEMBERED, SENT = 300_000, 100_000
+REMEMBERED, SENT = 500_000, 100_000
 #: Documents whose ids a worker holds at once.
-HELD = 256
+HELD = 1024
 NAME = 16
 #: A capital before what may be a combining mark (the first is U+0300, bytes CC 80).
 MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 SYMBOLS = byte_symbols()
+PUNCTUATION = string.punctuation.encode()
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 1 << 16, np.uint64)
 ROWS = T.StructType([T.StructField("route", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("names", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("root", T.BinaryType())])
 ARROW = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("lengths", pa.binary()), ("root", pa.binary())])
@@ -54,40 +59,52 @@ def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=NAME).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of one document."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def places(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: after ids at which the hash of the last WINDOW ids has its low bits clear."""
     # h[i] = sum of GEAR[ids[i - j]] << j over the last WINDOW ids, by doubling
     h = GEAR[ids & 0xFFFF]
     step = 1
     while step < WINDOW:
         h[step:] = h[step:] + (h[:-step] << np.uint64(step))
         step *= 2
-    ends, last = [], 0
-    for c in (np.flatnonzero((h >> np.uint64(32)) & np.uint64(MEAN - 1) == 0) + 1).tolist():
+    return np.flatnonzero((h >> np.uint64(32)) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def chosen(found: list[int], start: int, stop: int) -> list[int]:
+    """The ends of the chunks of the ids from start to stop, of the places found in them. A chunk has LEAST ids
+    or more, but for a document's last: so the WINDOW before its end lies inside the document."""
+    ends, last = [], start
+    for c in found:
         while c - last > MOST:
             last += MOST
             ends.append(last)
         if c - last >= LEAST:
             last = c
             ends.append(c)
-    while n - last > MOST:
+    while stop - last > MOST:
         last += MOST
         ends.append(last)
-    return ends if last == n else [*ends, n]
+    return ends if last == stop else [*ends, stop]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """The ends of the chunks of one document."""
+    return chosen(places(ids).tolist(), 0, len(ids))
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary drops white space and no token crosses it, so a text is the
-    ids of its pieces between spaces and newlines, and those of frequent pieces are remembered.
-
-    A new piece of letters only (with a full stop or comma after it, maybe) is one word of the
-    vocabulary's model, which gets it as it is after normalisation; other pieces go through the whole
-    tokenizer. ASCII letters are put in lower case before, as the vocabulary has it, but in no text where
-    that may give other ids: where a special string stands in any case (they are matched on the text as
-    it is), or a combining mark may follow a capital (they are composed before the case is lowered).
+    """Ids of whole texts, as the library gives them.
+
+    A vocabulary of the kind WORDLY drops white space, no token crosses it, and a run of letters is one
+    word. So a text is the ids of its pieces between spaces and
+    newlines, and those of frequent pieces are remembered. A new piece of letters, maybe with a run of ASCII
+    punctuation after it, is one word of the vocabulary's model, which gets it as it is after
+    normalisation, and the ids of the run; others go through the whole tokenizer. ASCII letters are put in lower case
+    before, as the vocabulary has it, but in no text where that may give other ids: where a
+    special string stands in any case (they are matched on the text as it is), or a combining mark may
+    follow a capital (they are composed before the case is lowered).
+
+    With any other vocabulary the whole tokenizer gets whole texts.
     """
 
     def __init__(self, spec: str, end: int):
@@ -97,75 +114,102 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
         self.end = self.ids([end])
-        self.of_id = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.model = self.tokenizer.model
-        self.words = self.single_words()
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Pieces(self)
-        self.marks = {m[0]: self.whole(m) for m in (b".", b",")}
-
-    def single_words(self) -> bool:
-        """Whether the vocabulary is of the kind that makes one lower-case word of a run of letters."""
-        samples = ["Abc", "\xc9t\xe9", "w" * 40, "stra\xdfe"]
-        return all(self.whole(x.encode()) == self.word(x.lower().encode()) for x in samples) and all(self.whole(f"{x}{m} y".encode()) == self.whole(x.encode()) + self.whole(m.encode()) + self.whole(b"y") for x in samples for m in ".,")
+        self.by_words = wordly(json.loads(spec))
+        if self.by_words:
+            self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.known = pieces(self)
 
     def ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def whole(self, piece: bytes) -> bytes:
-        return self.ids(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
-
-    def word(self, word: bytes) -> bytes:
-        symbols = word.decode() if word.isascii() else "".join([SYMBOLS[b] for b in word])
-        of = self.of_id
-        return b"".join([of[t.id] for t in self.model.tokenize(symbols)])
-
-    def new(self, piece: bytes) -> bytes:
-        if self.words:
-            tail = self.marks.get(piece[-1])
-            word = piece if tail is None else piece[:-1]
-            if word.isalpha():  # ASCII letters
-                return self.word(word.lower()) + (tail or b"")
-            text = word.decode()
-            # of Latin-1 letters the lower case is beyond doubt, and they are composed already
-            if text.isalpha() and max(text) < "\u0100":
-                return self.word(text.lower().encode()) + (tail or b"")
-        return self.whole(piece)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text (in UTF-8) and the end id, as bytes."""
+        if not self.by_words:
+            yield from (x + self.end for x in self.whole([t.decode() for t in texts]))
+            return
         known = self.known
         if len(known) > REMEMBERED:
             known.turn()
-        for text in texts:
-            raw = text.encode("utf-8")
-            if self.words:
-                low = raw.lower()
-                if not any(x in low for x in self.special) and (raw.isascii() or not MARKED.search(raw)):
-                    raw = low
-            pieces = raw.replace(b"\n", b" ").split(b" ")
-            yield b"".join([known[p] for p in pieces]) + self.end
-
-
-class Pieces(dict):
+        raws = []
+        for raw in texts:
+            low = raw.lower()
+            if not any(x in low for x in self.special) and (raw.isascii() or not MARKED.search(raw)):
+                raw = low
+            raws.append(raw.replace(b"\n", b" "))
+        # each distinct piece of the batch is looked up once; laid out again in their order, the ids of a
+        # text's pieces are one stretch
+        split = pc.split_pattern(pa.array(raws, pa.large_binary()), b" ")
+        coded = split.flatten().dictionary_encode()
+        laid = pa.array([known[p] for p in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(laid.buffers()[1], np.int64)[np.asarray(split.offsets)].tolist() if len(laid) else [0] * (len(texts) + 1)
+        data = memoryview(laid.buffers()[2] or b"")
+        yield from (bytes(data[a:z]) + self.end for a, z in zip(at, at[1:]))
+
+
+def pieces(encoder: Encoder) -> dict[bytes, bytes]:
     """The ids of pieces; those of a new one are made when they are asked for. Two generations are held:
     what has not been asked for since the last turn is dropped at the next."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.new, self.older = encoder.new, {}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.new(piece) if piece else b""
-        self[piece] = ids
-        return ids
-
-    def turn(self) -> None:
-        self.older = dict(self)
-        self.clear()
+    tokenize, symbol = encoder.tokenizer.model.tokenize, SYMBOLS.__getitem__
+    of = {i: encoder.ids([i]) for i in encoder.tokenizer.get_vocab().values()}
+
+    class Pieces(dict):
+        older: dict[bytes, bytes] = {}
+
+        def __missing__(self, piece: bytes) -> bytes:
+            ids = self.older.get(piece)
+            if ids is None:
+                word = piece.rstrip(PUNCTUATION)
+                if word.isalpha():  # ASCII letters
+                    symbols = word.lower().decode()
+                elif (text := word.decode()).isalpha() and max(text) < "\u0100":
+                    # of Latin-1 letters the lower case is beyond doubt, and they are composed already
+                    symbols = "".join(map(symbol, text.lower().encode()))
+                else:
+                    self[piece] = ids = encoder.whole([piece.decode()])[0]
+                    return ids
+                ids = b"".join([of[t.id] for t in tokenize(symbols)])
+                if len(word) < len(piece):
+                    ids += self[piece[len(word) :]]
+            self[piece] = ids
+            return ids
+
+        def turn(self) -> None:
+            self.older = dict(self)
+            self.clear()
+            self[b""] = b""
+
+    return Pieces({b"": b""})
+
+
+#: The parts of a tokenizer file of the kind that Encoder takes apart (fixed values: its pattern and settings).
+END_OF_WORD = "</w>"
+WORDLY = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def wordly(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind WORDLY: with these parts, a byte-level BPE model that has every
+    byte inside and at the end of a word, and special strings without white space that take none."""
+    model, vocabulary = spec["model"], spec["model"].get("vocab", {})
+    whole = all(s + e in vocabulary for s in SYMBOLS for e in ("", END_OF_WORD))
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == END_OF_WORD and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"] and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return whole and plain and added and all(spec.get(k) == v for k, v in WORDLY.items())
 
 
 ENCODERS: dict[tuple[int, int, int], Encoder] = {}
@@ -215,22 +259,38 @@ def encoded(spark: SparkSession, docs: DataFrame, file: str, end: int) -> DataFr
             for b in (whole.slice(i, HELD) for i in range(0, len(whole), HELD)):
                 if len(sent) > SENT:
                     sent.clear()
-                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for doc_id, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                    names, lengths, last = [], [], 0
-                    for c in cuts(np.frombuffer(data, encoder.dtype)):
+                held = list(encoder.encode(b.column(1).cast(pa.binary()).to_pylist()))
+                stops = np.cumsum([len(x) // width for x in held])
+                data = b"".join(held)
+                found = places(np.frombuffer(data, encoder.dtype))
+                keys, pieces, names, lengths, roots = [], [], [], [], []
+                start, a = 0, 0
+                for stop, z in zip(stops.tolist(), np.searchsorted(found, stops, "right").tolist()):
+                    ends = chosen(found[a:z].tolist(), start, stop)
+                    own, sizes, last = [], array("i"), start
+                    for c in ends:
                         piece = data[last * width : c * width]
-                        names.append(key := name_of(piece))
-                        lengths.append(c - last)
+                        own.append(key := name_of(piece))
+                        sizes.append(c - last)
                         last = c
                         if key not in sent:
                             sent.add(key)
-                            for column, value in zip(out, (int.from_bytes(key[:7], "big"), None, key, piece, None, None, None, None), strict=True):
-                                column.append(value)
-                    own = b"".join(names)
-                    for column, value in zip(out, (zlib.crc32(own) ^ ((doc_id or 0) & 0xFFFFFF), doc_id, None, None, last, own, np.array(lengths, "<i4").tobytes(), root_of(names)), strict=True):
-                        column.append(value)
-                yield pa.record_batch(list(out), schema=ARROW)
+                            keys.append(key)
+                            pieces.append(piece)
+                    names.append(b"".join(own))
+                    lengths.append(sizes.tobytes())
+                    roots.append(root_of(own))
+                    start, a = stop, z
+                nulls = lambda n: [pa.nulls(n, f.type) for f in ARROW]
+                ids, chunks, recipes = b.column(0), nulls(len(keys)), nulls(len(b))
+                chunks[0] = pa.array([int.from_bytes(k[:7], "big") for k in keys], pa.int64())
+                chunks[2], chunks[3] = pa.array(keys, pa.binary()), pa.array(pieces, pa.binary())
+                # copies of a text are dealt by their ids as well
+                recipes[0] = pa.array(np.array([zlib.crc32(x) for x in names], np.int64) ^ (pc.fill_null(ids, 0).to_numpy() & 0xFFFFFF))
+                recipes[1], recipes[4] = ids, pa.array(np.diff(stops, prepend=0), pa.int64())
+                recipes[5:] = [pa.array(x, pa.binary()) for x in (names, lengths, roots)]
+                yield pa.record_batch(chunks, schema=ARROW)
+                yield pa.record_batch(recipes, schema=ARROW)
         # idle workers hold little memory while other stages run
         sent.clear()
         released()

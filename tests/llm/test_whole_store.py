@@ -19,8 +19,8 @@ def test_ids_are_the_librarys():
     with open(WORDS, encoding="utf-8") as f:
         encoder = token_store.Encoder(f.read(), 2)
     rng = random.Random(6)
-    texts = TEXTS + ["".join(rng.choice([*"AbHtWj .,\n<|", "̱", "̈", "̊", "̌", "É", "Σ", "<|ENDOFTEXT|>", "<|endoftext|>"]) for _ in range(rng.randrange(40))) for _ in range(2000)]
-    wrong = [x for x, got in zip(texts, encoder.encode(texts), strict=True) if np.frombuffer(got, encoder.dtype).tolist() != [*t.encode(x, add_special_tokens=False).ids, 2]]
+    texts = TEXTS + ["".join(rng.choice([*"AbHtWj .,\n<|", "̱", "̈", "̊", "̌", "É", "Σ", "'s", "!!", "_", "9", "<|ENDOFTEXT|>", "<|endoftext|>"]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    wrong = [x for x, got in zip(texts, encoder.encode([x.encode() for x in texts]), strict=True) if np.frombuffer(got, encoder.dtype).tolist() != [*t.encode(x, add_special_tokens=False).ids, 2]]
     assert not wrong, (len(wrong), wrong[:5])
 
 
