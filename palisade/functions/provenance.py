@@ -44,7 +44,7 @@ def is_trusted_command(command: Column, extra: list[str] | None = None) -> Colum
     # leading NAME=value words are dropped
     bare = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^(?:\w+=\S*(?:\s+|$))+", ""))
     names = lambda s: F.regexp_extract(F.split(s, r"\s+")[0], r"([^/]*)$", 1)
-    sub = lambda s: F.coalesce(F.get(F.filter(F.slice(F.split(s, r"\s+"), 2, 10_000), lambda w: ~w.startswith("-")), F.lit(0)), F.lit(""))
+    sub = lambda s: F.coalesce(F.get(F.filter(F.slice(F.split(s, r"\s+"), F.lit(2), F.char_length(s)), lambda w: ~w.startswith("-")), F.lit(0)), F.lit(""))
     fine = lambda s: (s == "") | F.when(names(s) == "git", sub(s).isin(TRUSTED_GIT)).otherwise(names(s).isin([*TRUSTED_COMMANDS, *(extra or [])]))
     return (F.trim(command) != "") & ~command.rlike(r"\$\(|`|<\(") & F.forall(bare, fine)
 

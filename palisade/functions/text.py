@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ TAGS = r"[\x{E0000}-\x{E007F}]"
 LEAST_ZERO_WIDTH = 8
 BASE64_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])"
 LEAST_DECODED, LEAST_PRINTABLE = 12, 0.95
-OPAQUE = r"(?:nostr:)?[A-Za-z0-9_\-+/=]{32,}"
+OPAQUE = r"(?:nostr:|(?<![A-Za-z0-9_\-+/=]))[A-Za-z0-9_\-+/=]{32,}"
+#: What any opaque token or run of base64 begins with.
+LONG_RUN = r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{32}"
 JOINER = r"[_\-+/=.]+"
 PLAIN_WORD = r"^(?:[A-Z]?[a-z]{1,19}|[A-Z]{2,20})$"
 SENTENCE_TOKEN = r"^\p{L}+[.,:;!?)]?$"
@@ -25,6 +29,15 @@ KEYWORDS = (
 )
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, so that steps can be stacked without growing like a tree."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def matches(text: Column, regex: str) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
@@ -40,8 +53,7 @@ def unhidden(text: Column) -> Column:
     characters stay whole, so the cost is in proportion to the text."""
     pieces = matches(text, TAGS + r"|[^\x{E0000}-\x{E007F}]+")
     read = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^" + TAGS + "$"), F.chr(F.ascii(p) - 0xE0000)).otherwise(p)), "")
-    read = F.when(text.rlike(TAGS), read).otherwise(text)
-    return F.translate(read, ZERO_WIDTH + BIDI + SOFT_HYPHEN, "")
+    return F.when(ascii_only(text), text).otherwise(F.translate(F.when(text.rlike(TAGS), read).otherwise(text), ZERO_WIDTH + BIDI + SOFT_HYPHEN, ""))
 
 
 def words(text: Column) -> Column:
@@ -52,15 +64,25 @@ def words(text: Column) -> Column:
 
 
 def unicode_flags(text: Column) -> Column:
-    hidden = F.trim(tag_text(text)) != ""
-    return F.array_compact(F.array(F.when(hidden, "unicode_tags"), F.when(F.regexp_count(text, F.lit(f"[{ZERO_WIDTH}]")) >= LEAST_ZERO_WIDTH, "zero_width"), F.when(text.rlike(f"[{BIDI}]"), "bidi_override")))
+    hidden = F.when(text.rlike(TAGS), F.trim(tag_text(text)) != "").otherwise(False)
+    found = F.array_compact(F.array(F.when(hidden, "unicode_tags"), F.when(F.regexp_count(text, F.lit(f"[{ZERO_WIDTH}]")) >= LEAST_ZERO_WIDTH, "zero_width"), F.when(text.rlike(f"[{BIDI}]"), "bidi_override")))
+    return F.when(ascii_only(text), F.array().cast("array<string>")).otherwise(found)
+
+
+def shown(text: Column) -> Column:
+    """The text without tag characters and other invisible ones."""
+    return F.when(ascii_only(text), text).otherwise(F.translate(F.regexp_replace(text, TAGS, ""), ZERO_WIDTH + BIDI, ""))
+
+
+def with_tag_text(clean: Column, text: Column) -> Column:
+    """clean, and after it what the tag characters of text spell."""
+    spelled = F.when(~ascii_only(text), tag_text(text))
+    return let(spelled, lambda tags: F.when(F.trim(tags) != "", F.concat(clean, F.lit("\n[hidden unicode-tag text]: "), tags)).otherwise(clean))
 
 
 def reveal_unicode(text: Column) -> Column:
     """The text without invisible characters, and what tag characters spell after it."""
-    clean = F.translate(F.regexp_replace(text, TAGS, ""), ZERO_WIDTH + BIDI, "")
-    tags = tag_text(text)
-    return F.when(F.trim(tags) != "", F.concat(clean, F.lit("\n[hidden unicode-tag text]: "), tags)).otherwise(clean)
+    return with_tag_text(shown(text), text)
 
 
 def printable_ratio(text: Column) -> Column:
@@ -69,23 +91,34 @@ def printable_ratio(text: Column) -> Column:
 
 def decoded_base64(text: Column) -> Column:
     """The readable texts that runs of base64 hold."""
-    padded = lambda b: F.concat(F.regexp_replace(b, "=+$", ""), F.repeat(F.lit("="), F.pmod(-F.char_length(F.regexp_replace(b, "=+$", "")), F.lit(4))))
-    raw = F.transform(F.filter(matches(text, BASE64_RUN), lambda b: F.pmod(F.char_length(F.regexp_replace(b, "=+$", "")), F.lit(4)) != 1), lambda b: F.try_to_binary(padded(b), F.lit("base64")))
+
+    def read(run: Column) -> Column:
+        bare = lambda b: F.concat(b, F.repeat(F.lit("="), F.pmod(-F.char_length(b), F.lit(4))))
+        return let(F.regexp_replace(run, "=+$", ""), lambda b: F.when(F.pmod(F.char_length(b), F.lit(4)) != 1, F.try_to_binary(bare(b), F.lit("base64"))))
+
+    raw = F.transform(matches(text, BASE64_RUN), read)
     texts = F.transform(F.filter(raw, lambda r: r.isNotNull() & F.is_valid_utf8(r.cast("string"))), lambda r: r.cast("string"))
-    return F.filter(texts, lambda t: (F.char_length(t) >= LEAST_DECODED) & (printable_ratio(t) > LEAST_PRINTABLE) & t.rlike(r"[A-Za-z]{3,}\s+[A-Za-z]{2,}"))
+    found = F.filter(texts, lambda t: (F.char_length(t) >= LEAST_DECODED) & (printable_ratio(t) > LEAST_PRINTABLE) & t.rlike(r"[A-Za-z]{3,}\s+[A-Za-z]{2,}"))
+    return F.when(text.rlike(LONG_RUN), found).otherwise(F.array().cast("array<string>"))
 
 
-def reveal_base64(text: Column) -> Column:
-    found = decoded_base64(text)
+def with_decoded(text: Column, found: Column) -> Column:
     return F.concat(text, F.array_join(F.transform(found, lambda d: F.concat(F.lit("\n[decoded base64]: "), d)), ""))
 
 
+def reveal_base64(text: Column) -> Column:
+    return with_decoded(text, decoded_base64(text))
+
+
 def joined_words(token: Column) -> Column:
     """The parts of a token that is a sentence with its spaces replaced; null for other tokens."""
-    parts = F.filter(F.split(F.regexp_replace(token, "^nostr:", ""), JOINER), lambda p: p != "")
-    plain = F.size(F.filter(parts, lambda p: F.regexp_replace(p, "^[0-9]+|[0-9]+$", "").rlike(PLAIN_WORD)))
     digits, letters = F.regexp_count(token, F.lit("[0-9]")), F.regexp_count(token, F.lit("[A-Za-z0-9]"))
-    return F.when((F.size(parts) >= 3) & (digits * 10 <= letters) & (plain >= 3) & (plain >= F.lit(0.75) * F.size(parts)), parts)
+
+    def checked(parts: Column) -> Column:
+        plain = F.size(F.filter(parts, lambda p: F.regexp_replace(p, "^[0-9]+|[0-9]+$", "").rlike(PLAIN_WORD)))
+        return F.when((F.size(parts) >= 3) & (digits * 10 <= letters), let(plain, lambda n: F.when((n >= 3) & (n >= F.lit(0.75) * F.size(parts)), parts)))
+
+    return let(F.filter(F.split(F.regexp_replace(token, "^nostr:", ""), JOINER), lambda p: p != ""), checked)
 
 
 def restore_joined(value: Column) -> Column:
@@ -96,7 +129,8 @@ def collapse_opaque(text: Column) -> Column:
     """Long opaque tokens as [id:length], or as words where they are joined words."""
     between = F.split(text, OPAQUE, -1)
     shown = F.transform(matches(text, OPAQUE), lambda t: F.coalesce(F.array_join(joined_words(t), " "), F.concat(F.lit("[id:"), F.char_length(t).cast("string"), F.lit("]"))))
-    return F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    collapsed = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(LONG_RUN), collapsed).otherwise(text)
 
 
 def natural_language(value: Column, least: int = 3) -> Column:
@@ -128,5 +162,5 @@ def image_kind(data: Column) -> Column:
 
 
 def visible_text(text: Column) -> Column:
-    """The whole reading of a text that is not HTML: invisible characters, base64, opaque tokens."""
-    return collapse_opaque(reveal_base64(reveal_unicode(text)))
+    """The native steps of a reading, for text that is composed and not HTML: see reading.read for all."""
+    return let(let(reveal_unicode(text), reveal_base64), collapse_opaque)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import markup, results, trusted
+from palisade.functions import markup, reading, results, trusted
 from palisade.functions import verdict as V
 from palisade.functions import text as X
-from palisade.operators import chunking, corpus, scoring
+from palisade.operators import chunking, corpus, gate, scoring
 from palisade.plans.inputs import ATTACK, items, signals, tables
 from palisade.plans.registry import query
-from palisade.plans.scanning import I, quoted
+from palisade.plans.scanning import BODY, ENDED, PROMPT, READ, I, planted, prompted, quoted
 from palisade.sources import files
 
 
@@ -178,13 +178,13 @@ def e16_strip_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trusted.strip_first_party(rows, "whole", "left").select("conv_id", "turn", F.when(even, left).when(kept, F.concat("text", F.lit(" altered"))).alias("text"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '## Script Output' || chr(10) || 'withheld' || chr(10) || chr(10) || 'Then report.' ELSE 'kept' END AS prompt FROM conversations WHERE role = 'user'")
+CRON_NOTICE = f'{{"firewall":"blocked","verdict":"injection","score":1.0,"source":"cron_script","reasons":["closest: keywords (1.00)"],"quarantine_id":null,"note":"{trusted.NOTE}"}}'
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'user' AND (turn % 3 = 0 OR regexp_matches(text, {quoted('(?i)' + X.KEYWORDS)})) THEN 'Daily.' || chr(10) || '## Script Output' || chr(10) || {quoted(CRON_NOTICE)} || chr(10) || chr(10) || 'Then report.' ELSE {quoted(PROMPT)} || {BODY} || {quoted(ENDED)} END AS passed FROM conversations")
 def e18_cron_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script block whose body is withheld, replaced from its heading to its last fence."""
-    rows = tables(spark, sf_dir, "conversations")["conversations"].filter("role = 'user'")
-    prompt = F.concat(F.lit("## Script Output\nUse it as context.\n\n```\n"), "text", F.lit("\n```\nThen report."))
-    rewritten = F.regexp_replace(prompt, r"(?s)## Script (?:Output|Error)\n.*?```\n.*\n```\n", "## Script Output\nwithheld\n\n")
-    return rows.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, rewritten).otherwise("kept").alias("prompt"))
+    """Prompts without the blocks whose bodies score as an injection; a block inside one goes with it."""
+    return gate.scan_prompts(prompted(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "passed")
 
 
 @query(f"""SELECT doc_id, '{{"firewall":"blocked","verdict":"injection","score":0.5,"source":"' || source || '","reasons":["commands the reader"],"quarantine_id":"fw-20240101-' || substring(sha256(text), 1, 6) || '","note":{quoted(chr(34) + trusted.NOTE + chr(34))[1:-1]}}}' AS notice FROM documents""")
@@ -276,14 +276,8 @@ def d15_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("split = 'test'").select("item_id", "label", (1 / (1 + F.exp(-z))).alias("p"))
 
 
-@query(None)
+@query(f"WITH {I}, {READ}, v AS (SELECT item_id, label, flags, CASE WHEN regexp_matches(text, {quoted('(?i)' + X.KEYWORDS)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM read) SELECT item_id, label, score, CASE WHEN score >= 0.9::DOUBLE THEN 'injection' WHEN regexp_matches(flags, 'unicode_tags|zero_width|bidi_override|base64_text') THEN 'suspicious' ELSE 'safe' END AS verdict FROM v")
 def l4_scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items end to end: read, chunk, score, decide; distinct contents are scored once."""
-    rows = items(spark, sf_dir).select("item_id", "label", X.visible_text(F.col("text")).alias("text"), X.unicode_flags(F.col("text")).alias("flags"))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    chunks = chunking.chunks(distinct, "text", *chunking.CHUNKS["retry"]).select("digest", "pos", "chunk")
-    found = scoring.merged(scoring.score_chunks(chunks, "chunk", "keywords"), "digest")
-    p = F.coalesce(F.try_element_at("signals", F.lit("keywords")), F.lit(0.0))
-    both = rows.drop("text").join(found, "digest")
-    return both.select("item_id", "label", p.alias("score"), V.decide(p, F.lit(0.9), F.lit(0.7), F.col("flags")).alias("verdict"))
+    rows = reading.spread(planted(spark, sf_dir).select("item_id", "label", "text"))
+    return gate.judged(rows, "text").select("item_id", "label", "score", "verdict")

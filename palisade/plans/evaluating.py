@@ -353,15 +353,6 @@ def i6_fail_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(acted(spark, sf_dir, True, True, True).select("event_id", F.col("action").alias("warn_only")), "event_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 OR (conv_id * 7 + turn) % 10 >= 6 THEN 'blocked' WHEN (conv_id * 7 + turn) % 10 >= 4 THEN 'flagged' ELSE 'passed' END AS action FROM conversations WHERE role = 'user'")
-def i7_cron_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Script output: an injection is withheld, and so is a block that could not be scanned."""
-    s = (F.col("conv_id") * 7 + F.col("turn")) % 10
-    v = F.when(F.col("turn") % 5 == 4, "unavailable").when(s >= 6, "injection").when(s >= 4, "suspicious").otherwise("safe")
-    rows = tables(spark, sf_dir, "conversations")["conversations"].filter("role = 'user'").withColumn("v", v)
-    return rows.select("conv_id", "turn", F.when(F.col("v").isin("injection", "unavailable"), "blocked").when(F.col("v") == "suspicious", "flagged").otherwise("passed").alias("action"))
-
-
 @query("SELECT event_id, 'suspicious' AS verdict, NULL::DOUBLE AS score, 'not fully scanned: ' || (rn - 8) || ' images over the limit of 8' AS reason FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn > 8")
 def i8_unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images over the limit: never safe, without a score."""
@@ -370,12 +361,13 @@ def i8_unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.lit("suspicious").alias("verdict"), F.lit(None).cast("double").alias("score"), F.concat(F.lit("not fully scanned: "), F.col("rn") - 8, F.lit(" images over the limit of 8")).alias("reason"))
 
 
-@query("SELECT model, coalesce(policy, 'missing') AS status FROM (SELECT DISTINCT p_brand AS model, CASE WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#21') THEN 'fitted' END AS policy FROM part)")
+@query(f"WITH {POLICIES} SELECT policy AS model, array_to_string(questions, ',') AS questions, agg, block, warn, local_block FROM pol")
 def i9_policy_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model without a policy is reported, never scored under defaults."""
-    models = tables(spark, sf_dir, "part")["part"].select(F.col("p_brand").alias("model")).distinct()
-    fitted = spark.createDataFrame([(b, "fitted") for b in ("Brand#11", "Brand#12", "Brand#21")], "model string, policy string")
-    return models.join(F.broadcast(fitted), "model", "left").select("model", F.coalesce("policy", F.lit("missing")).alias("status"))
+    """The policy of each model that has one; asking for another model's is an error (gate.policy_of)."""
+    from palisade.operators.gate import policy_of
+
+    rows = [(m, ",".join(p.questions), p.agg, p.block, p.warn, p.local_block) for m in [x[0] for x in V.POLICIES] for p in [policy_of(m)]]
+    return spark.createDataFrame(rows, "model string, questions string, agg string, block double, warn double, local_block double")
 
 
 @query(f"WITH {S}, {POLICIES}, {SCORED}, {THRESHOLD.format(g='policy', t='''(SELECT policy, label, round(score, 9) AS score FROM sc WHERE split = 'dev')''', b='(0.01::DOUBLE), (0.05::DOUBLE)')} SELECT * FROM th")
@@ -405,12 +397,6 @@ def k2_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaker(tables(spark, sf_dir, "events")["events"].withColumn("outage", F.col("event_type") == "error"), "user_id", 60.0).select("event_id", "user_id", "paused")
 
 
-@query(f"WITH {C}, m AS (SELECT *, {MODE} AS mode FROM c), a AS (SELECT mode, {action_sql('false', 'false', 'false')} AS action FROM m) SELECT mode, action, count(*) AS n FROM a WHERE action IS NOT NULL GROUP BY 1, 2")
-def l1_scan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool results, from routing to action, counted."""
-    return acted(spark, sf_dir, False, False, False).filter("action IS NOT NULL").groupBy("mode", "action").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH {S}, {AGGREGATORS}, {AUC.format(g='name, ordinal', t='''(SELECT * FROM ag WHERE split = 'dev')''')}, b AS (SELECT arg_max(name, (auc, -ordinal)) AS name FROM au),
  {THRESHOLD.format(g='name', t='''(SELECT name, label, score FROM ag WHERE split = 'dev' AND name = (SELECT name FROM b))''', b='(0.02::DOUBLE)')}
 SELECT th.name, threshold, {CONFUSION} FROM (SELECT name, label, threshold, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS f FROM ag JOIN th USING (name) WHERE split = 'test') AS th GROUP BY th.name, threshold""")

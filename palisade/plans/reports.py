@@ -31,9 +31,12 @@ def c10_paths_under_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).filter("tool = 'read_file'").select("event_id", F.explode(roots).alias("root"))
 
 
-@query("SELECT conv_id, array_to_string(list_transform(list(DISTINCT role), lambda x: x).list_sort(), ',') AS roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, array_to_string(list(role ORDER BY first), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def d17_distinct_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir, "conversations")["conversations"].groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    """The distinct parts of each conversation in the order in which they come first."""
+    firsts = tables(spark, sf_dir, "conversations")["conversations"].groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+    parts = F.array_sort(F.collect_list(F.struct("first", "role")))  # a row for each role
+    return firsts.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["role"]), ",").alias("roles"))
 
 
 @query(f"WITH {S} SELECT question, item_id, avg(rn) OVER (PARTITION BY question, p) AS mean_rank FROM (SELECT question, item_id, p, row_number() OVER (PARTITION BY question ORDER BY p) AS rn FROM s)")
@@ -54,20 +57,6 @@ def e14_script_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.replace(markup.html_text(html)["text"], F.lit("[script/style text]: "), F.lit("")).alias("text"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' AND len(regexp_extract_all(text, '\\p{L}{2,}')) >= 3 THEN 'scanned' ELSE 'passed' END AS what FROM conversations")
-def l2_prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of a prompt that are scanned: those of users, with three words or more."""
-    rows = tables(spark, sf_dir, "conversations")["conversations"]
-    return rows.select("conv_id", "turn", F.when((F.col("role") == "user") & (X.words(F.col("text")) >= 3), "scanned").otherwise("passed").alias("what"))
-
-
-@query(f"WITH {C}, m AS (SELECT user_id, {MODE} AS mode FROM c) SELECT mode, count(*) AS n, count(DISTINCT user_id) AS users FROM m WHERE mode IS NOT NULL GROUP BY mode")
-def l3_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from palisade.plans.scanning import routed
-
-    return routed(calls(spark, sf_dir)).filter("mode IS NOT NULL").groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-
-
 @query(f"WITH {S}, {AUC.format(g='split, question', t='(SELECT split, question, label, p AS score FROM s)')}, {THRESHOLD.format(g='question', t='''(SELECT question, label, p AS score FROM s WHERE split = 'dev')''', b='(0.02::DOUBLE)')} SELECT question, max(auc) FILTER (split = 'dev') AS dev_auc, max(auc) FILTER (split = 'test') AS test_auc, max(threshold) AS threshold FROM au JOIN th USING (question) GROUP BY question")
 def m4_question_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question alone: AUC on both splits, and its threshold."""

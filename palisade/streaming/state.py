@@ -71,6 +71,13 @@ def log_once_stream(stream: DataFrame, body: str, action: str, delay: str = "1 h
     return stream.withWatermark(ts, delay).withColumn("digest", F.sha2(body, 256)).dropDuplicatesWithinWatermark(["digest", action])
 
 
+def cached(rows: DataFrame, digest: str, complete: str, tie: str) -> DataFrame:
+    """For each content: its uses, how often it is scored (once, if the verdict is complete; a verdict over part of it
+    is not kept), and the row that is scored first, the least by `tie`."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(digest).agg(n.alias("uses"), F.when(F.bool_and(complete), F.lit(1).cast("long")).otherwise(n).alias("scored"), F.min(tie).alias("scored_as"))
+
+
 def cached_stream(stream: DataFrame, text: str, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """One row for each content of a stream, to be scored once."""
     return stream.withWatermark(ts, delay).withColumn("digest", F.sha2(text, 256)).dropDuplicatesWithinWatermark(["digest"])

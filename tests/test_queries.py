@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from palisade.plans import building, evaluating, reports, scanning  # noqa: F401
+from palisade.plans import building, evaluating, gating, reports, scanning  # noqa: F401
 from palisade.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
