@@ -7,13 +7,14 @@ share a bucket. At similarity 0.8 that happens in some band with probability 0.9
 0.9999.
 
 Texts with equal words are one node. In a bucket every node is compared with the first one, the pivot,
-by the exact weighted Jaccard similarity; those that pass are linked. Buckets whose nodes are in
-several components go on: the next few nodes are compared with the later ones in other components,
-then four times as many, and so on. Two exact bounds leave out pairs that cannot be similar: the
-triangle inequality of the Jaccard distance to the pivot, and the weight of the shingles that no other
-node has, which no overlap can contain. So every pair that shares a bucket is connected, compared, or
-ruled out; no pairs are made inside a component, and a bucket of near-duplicates is done after a round
-or two.
+by the exact weighted Jaccard similarity; those that pass are linked. Buckets of three nodes or more
+that are in several components then are open. Pairs inside them that were not compared go by a prefix
+index: shingles are put in one order, rare ones first, and two texts of similarity SIMILAR must share one
+inside the first 1 - SIMILAR of the weight of each; the weight from that shingle on bounds what they can
+have in common, and so does the sum of the lesser weights in PROFILE classes of shingles. All these bounds
+are exact, so every pair that shares a bucket is connected, compared, or ruled out. Nodes that share a shingle of their prefixes are compared with the first of them, then with a
+few, then with each other, and never inside a component: a large group of copies is connected before its
+pairs would be made.
 """
 
 from __future__ import annotations
@@ -36,9 +37,13 @@ BANDS, ROWS = 12, 4
 SIMILAR = 0.8
 #: Elements whose samples are drawn at once.
 DRAWN = 1 << 15
-#: By how much the nodes of a bucket grow that are compared in a round, and from how many on almost all are;
-#: how many nodes one copy of a node's text is compared with.
-GROWTH, MANY, COMPARED = 4, 64, 256
+#: Nodes of a shingle that are compared with the others in a round (None: all of them); how many nodes one
+#: copy of a node's text is compared with.
+ROUNDS, COMPARED = (1, 16, None), 256
+#: Classes of shingles in a node's profile.
+PROFILE = 128
+#: What sums of doubles, and of the floats of a profile, may be off by.
+SLACK, FLOAT_SLACK = 1e-9, 1e-5
 
 
 def gamma_quantiles(n: int) -> np.ndarray:
@@ -172,33 +177,56 @@ def own_shingles(idf):
     return f
 
 
-def bounds(texts: DataFrame, idf) -> DataFrame:
-    """uid, total (the weight of all shingles of a text) and shared (of those that another text of
-    `texts` has too): the overlap with any other text is at most `shared`."""
-    each = texts.mapInArrow(own_shingles(idf), "shingle long, uid binary, weight double")
-    by = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.sum("weight").alias("weight"))
-    alone = by.filter("n = 1").groupBy("uid").agg(F.sum("weight").alias("alone"))
-    totals = texts.mapInArrow(own_totals(idf), "uid binary, total double")
-    return totals.join(alone, "uid", "left").select("uid", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+def profiles(idf):
+    """(uid, text) to uid and profile, the weight of a text's shingles in each class of them."""
 
-
-def own_totals(idf):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            totals = np.zeros(len(b))
+            out = np.zeros((len(b), PROFILE))
             for at, to, hashes, text in words.parts(*utf8(b.column(1))):
-                of, _, weights = weighted(hashes, text, to - at, idf.value)
-                totals[at:to] = np.bincount(of, weights, to - at)
-            yield pa.record_batch([b.column(0), pa.array(totals)], names=["uid", "total"])
+                of, shingles, weights = weighted(hashes, text, to - at, idf.value)
+                classes = of * PROFILE + (shingles % np.uint64(PROFILE)).astype(np.int64)
+                out[at:to] += np.bincount(classes, weights, (to - at) * PROFILE).reshape(-1, PROFILE)
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1).astype(np.float32)), PROFILE)
+            yield pa.record_batch([b.column(0), rows.cast(pa.list_(pa.float32()))], names=["uid", "profile"])
 
     return f
 
 
+def prefixes(spark: SparkSession, texts: DataFrame, idf) -> DataFrame:
+    """A row for each shingle in the prefix of each text: shingle, uid, total (the weight of all shingles
+    of the text) and rest (of this one and those after it).
+
+    Only shingles that another text of `texts` has too are listed, but all weigh.
+    """
+    each = save(spark, texts.mapInArrow(own_shingles(idf), "shingle long, uid binary, weight double"), "shingles")
+    known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    totals = each.groupBy("uid").agg(F.sum("weight").alias("total"))
+    common = save(spark, each.join(known, "shingle"), "common")
+    shared = common.groupBy("uid").agg(F.sum("weight").alias("shared"))
+    # a text whose own shingles weigh more than it may lack has no partner
+    able = totals.join(shared, "uid").filter(F.col("shared") >= SIMILAR * F.col("total") * (1 - SLACK))
+    behind = W.partitionBy("uid").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(W.unboundedPreceding, 0)
+    listed = common.join(able, "uid").withColumn("rest", F.sum("weight").over(behind))
+    # what stands before a shingle is the unshared weight and the rarer shared ones
+    return listed.filter(F.col("rest") >= SIMILAR * F.col("total") * (1 - SLACK)).select("shingle", "uid", "total", "rest")
+
+
 def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("of", F.coalesce("component", "uid")).drop("component")
 
 
+def joined(spark: SparkSession, compared: DataFrame) -> DataFrame:
+    return components(spark, compared.filter(F.col("similarity") >= SIMILAR).select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
+
+
+def apart(members: DataFrame, key: list[str]) -> DataFrame:
+    """The groups of members (of, the component) that have several components, and three members or more."""
+    sizes = members.groupBy(*key).agg(F.min("of").alias("a"), F.max("of").alias("z"), F.count(F.lit(1)).alias("n"))
+    return sizes.filter((F.col("a") != F.col("z")) & (F.col("n") > 2)).select(*key)
+
+
 def linked(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> DataFrame | None:
     """node and component for the nodes (uid, bands) that are similar to another one; None without any."""
     entries = nodes.select("uid", F.posexplode("bands").alias("band", "bucket"))
@@ -209,54 +237,51 @@ def linked(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> Data
     if pairs.isEmpty():
         return None
     texts = save(spark, texts.join(members.select("uid").distinct().hint("shuffle_hash"), "uid"), "texts")
-    compared = first = verified(spark, pairs, texts, idf)
-    taken = 0  # nodes of each open bucket, in the order of uid, that have been compared with all that follow
-    found = None
-    while True:
-        if found is None:
-            found = components(spark, compared.filter(F.col("similarity") >= SIMILAR).select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
-        of = with_components(members, found)
-        # buckets whose nodes are in several components, and are not all compared
-        still = few(of, n).groupBy("band", "bucket").agg(F.min("of").alias("a"), F.max("of").alias("z"), F.count(F.lit(1)).alias("n")).filter((F.col("a") != F.col("z")) & (F.col("n") > taken)).select("band", "bucket")
-        left = save(spark, few(of.join(few(still, n), ["band", "bucket"], "left_semi"), n), "open")
-        if left.isEmpty():
-            return found
-        if not taken:
-            limit = save(spark, bounds(texts.join(left.select("uid").distinct(), "uid"), idf).filter(F.col("shared") >= SIMILAR * F.col("total") * (1 - 1e-9)), "bounds")
-            far = first.select("pivot", "uid", (1 - F.col("similarity")).alias("far"))
-            # only nodes that can have a partner go on, in the open buckets, with what the pairs need
-            limit = limit.join(nodes.select("uid", "bands"), "uid").select("*", F.posexplode("bands").alias("band", "bucket"))
-            open_buckets = few(left.select("band", "bucket", "pivot").distinct(), n)
-            members = limit.join(open_buckets, ["band", "bucket"]).join(far, ["pivot", "uid"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-            members = save(spark, few(members, n), "open")
-            left = with_components(members, found)
-        upto = taken * GROWTH + 1 if taken < MANY else taken * MANY
-        turn = left.withColumn("turn", F.row_number().over(W.partitionBy("band", "bucket").orderBy("uid"))).filter(F.col("turn") <= upto).filter(F.col("turn") > taken)
-        taken = upto
-        kept = ("uid", "of", "far", "total", "shared", "bands")
-        x = turn.select("band", "bucket", *[F.col(k).alias(f"x_{k}") for k in kept])
-        y = left.select("band", "bucket", *[F.col(k).alias(f"y_{k}") for k in kept])
-        # a similarity of s needs an overlap of s / (1 + s) of the two totals
-        most = F.least("x_shared", "y_shared") >= (F.col("x_total") + F.col("y_total")) * (SIMILAR / (1 + SIMILAR)) * (1 - 1e-9)
-        near = F.abs(F.col("x_far") - F.col("y_far")) <= 1 - SIMILAR + 1e-9
-        # a pair that meets in several bands is made in the first of them
-        met = F.exists(F.slice(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
-        new = x.join(y, ["band", "bucket"]).filter((F.col("y_uid") > F.col("x_uid")) & (F.col("x_of") != F.col("y_of")) & near & most & ~met)
-        new = new.select(F.col("x_uid").alias("pivot"), F.col("y_uid").alias("uid")).distinct()
+    compared = verified(spark, pairs, texts, idf)
+    found = joined(spark, compared)
+    of = with_components(members, found)
+    left = save(spark, few(of.join(few(apart(of, ["band", "bucket"]), n), ["band", "bucket"], "left_semi").select("uid").distinct(), n), "open")
+    if left.isEmpty():
+        return found
+    entries = save(spark, prefixes(spark, texts.join(left, "uid"), idf), "prefixes")
+    # a similarity of s needs an overlap of s / (1 + s) of the two totals
+    needed = (F.col("x_total") + F.col("y_total")) * (SIMILAR / (1 + SIMILAR))
+    for most in ROUNDS:
+        of = with_components(entries, found)
+        members = save(spark, of.join(of.groupBy("shingle").agg(F.min("of").alias("a"), F.max("of").alias("z")).filter("a <> z").select("shingle"), "shingle"), "members")
+        kept = ["uid", "of", "total", "rest"]
+        bound = F.lit(True)
+        if most is None:
+            seen = texts.join(members.select("uid").distinct(), "uid").mapInArrow(profiles(idf), "uid binary, profile array<float>")
+            members = save(spark, members.join(seen, "uid"), "profiled")
+            kept.append("profile")
+            overlap = F.aggregate(F.zip_with("x_profile", "y_profile", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, b: a + b)
+            bound = overlap >= needed * (1 - FLOAT_SLACK)
+            order = F.col("x_uid") < F.col("y_uid")
+            first = members
+        else:
+            order = F.lit(True)
+            first = members.groupBy("shingle", F.pmod(F.hash("uid"), F.lit(most)).alias("class")).agg(F.min(F.struct("uid", "of", "total", "rest")).alias("x")).select("shingle", "x.*")
+        x = first.select("shingle", *[F.col(k).alias(f"x_{k}") for k in kept])
+        y = members.select("shingle", *[F.col(k).alias(f"y_{k}") for k in kept])
+        new = x.join(y, "shingle").filter((F.col("x_of") != F.col("y_of")) & order & (F.least("x_rest", "y_rest") >= needed * (1 - SLACK)) & bound)
+        new = new.select(F.least("x_uid", "y_uid").alias("pivot"), F.greatest("x_uid", "y_uid").alias("uid")).distinct()
         new = save(spark, new.join(compared, ["pivot", "uid"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            answers = verified(spark, new, texts, idf)
-            compared = compared.unionByName(answers)
-            if not answers.filter(F.col("similarity") >= SIMILAR).isEmpty():
-                found = None  # there are new links
+        if new.isEmpty():
+            continue
+        answers = verified(spark, new, texts, idf)
+        compared = compared.unionByName(answers)
+        if not answers.filter(F.col("similarity") >= SIMILAR).isEmpty():
+            found = joined(spark, compared)
+    return found
 
 
 @tidy
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """uid, doc_id, class_id (the smallest doc_id of the class), class_size, links and kept for each row
-    of docs (doc_id, text).
+    """uid, doc_id, class_id (the smallest doc_id of the class), class_size and kept for each row of docs
+    (doc_id, text).
 
-    links says how many other rows are in the class. Texts with the same words in the same order are
+    Further columns are not read, whatever their names. Repeated rows are in one class. Texts with the same words in the same order are
     in one class; a text without any word (null, empty, only punctuation) is a class of its own. kept
     holds for one row of each class, that of the smallest doc_id (null last). An empty table gives no
     rows.
@@ -273,7 +298,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     sizes = named.groupBy("class").agg(first, F.count(F.lit(1)).alias("class_size")).select("class", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("kept_uid"), "class_size")
     out = lookup(named, sizes, ["class"], F.col("salt_of"))
-    return out.select("uid", "doc_id", "class_id", "class_size", (F.col("class_size") - 1).alias("links"), (F.col("uid") == F.col("kept_uid")).alias("kept"))
+    return out.select("uid", "doc_id", "class_id", "class_size", (F.col("uid") == F.col("kept_uid")).alias("kept"))
 
 
 @tidy
