@@ -112,3 +112,9 @@ def action(mode: Column, words: Column, images: Column, released: Column, paused
 def status_class(status: Column) -> Column:
     """What a scorer's status means: retry, split the input, refuse the input, or an outage."""
     return F.when(status == 200, "ok").when(status.isin(429, 502, 503, 504), "retry").when(status == 500, "split").when(status.isin(400, 413, 422), "input").otherwise("outage")
+
+
+def over_limit(images: Column, most: int) -> Column:
+    """struct<verdict, score, reason> for a result with more images than are scanned."""
+    reason = F.concat(F.lit("not fully scanned: "), images - most, F.lit(f" images over the limit of {most}"))
+    return F.struct(F.lit("suspicious").alias("verdict"), F.lit(None).cast("double").alias("score"), reason.alias("reason"))

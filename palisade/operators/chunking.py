@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # Backend, characters, overlap, most chunks.
 CHUNKS = {"jev": (12_000, 400, None), "laya": (1_092, 200, 40), "semif": (6_000, 300, 6), "retry": (2_000, 200, None)}
@@ -45,3 +46,9 @@ def sentences(df: DataFrame, text: str, most: int = 80) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), trimmed), lambda p: F.char_length(p) > 3)
     found = F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(F.substring(F.col(text), 1, 300)))
     return df.select("*", F.posexplode(found).alias("pos", "window"))
+
+
+def first_of_group(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group; each partition passes on n of a group at most."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

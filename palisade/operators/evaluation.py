@@ -1,7 +1,8 @@
 """Evaluation of detectors: AUC, thresholds at a false-positive budget, confusion, percentiles.
 
 Everything is grouped, so many detectors, fields or slices are measured in one pass. Sorted measures
-work on the histogram of distinct scores, not on rows: rows are aggregated before any window.
+work on the histogram of distinct scores, not on rows: rows are aggregated before any window, and running sums
+are taken inside ranges of scores, so that no task holds the scores of a whole group.
 """
 
 from __future__ import annotations
@@ -16,10 +17,32 @@ def histogram(df: DataFrame, group: list[str], score: str, label: str) -> DataFr
     return df.groupBy(*group, F.col(score).alias("score")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
 
 
+#: Ranges that the scores of a group are cut into, at about equal numbers of distinct ones.
+RANGES = 64
+
+
+def joined(df: DataFrame, other: DataFrame, group: list[str]) -> DataFrame:
+    """df with the columns of other, which has a row for each group (one row without any)."""
+    return df.join(other, group) if group else df.crossJoin(F.broadcast(other))
+
+
+def running(df: DataFrame, group: list[str], value: str, held: str, name: str, falling: bool = False) -> DataFrame:
+    """df (a row for each group and value) with `name`, the sum of `held` over the values up to its own, or down to
+    it: the sums of the ranges before, and the sum inside its range."""
+    cuts = df.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(16 * RANGES)).alias("_cuts"))
+    ranged = joined(df, cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    order = (lambda c: F.desc(c)) if falling else (lambda c: F.asc(c))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(held).alias("_sum"))
+    before = W.partitionBy(*group).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = W.partitionBy(*group, "_range").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
+    summed = ranged.withColumn("_inside", F.sum(held).over(inside)).join(sums, [*group, "_range"])
+    return summed.withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
 def auc(df: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """auc for each group, ties count a half; 0.5 where there is one class only."""
-    before = W.partitionBy(*group).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    h = histogram(df, group, score, label).withColumn("lower", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    h = running(histogram(df, group, score, label), group, "score", "neg", "upto").withColumn("lower", F.col("upto") - F.col("neg"))
     sums = h.groupBy(*group).agg(F.sum(F.col("pos") * F.col("lower") + F.col("pos") * F.col("neg") / 2.0).cast("double").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return sums.select(*group, "n_pos", "n_neg", F.coalesce(F.try_divide("won", (F.col("n_pos") * F.col("n_neg")).cast("double")), F.lit(0.5)).alias("auc"))
 
@@ -27,10 +50,8 @@ def auc(df: DataFrame, group: list[str], score: str = "score", label: str = "lab
 def thresholds(df: DataFrame, group: list[str], budgets: list[float], score: str = "score", label: str = "label") -> DataFrame:
     """For each group and budget the least score at or above which at most that share of the negatives
     lies; 1.01 where no score does."""
-    above = W.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    h = histogram(df, group, score, label).withColumn("over", F.sum("neg").over(above))
-    sums = h.groupBy(*group).agg(F.sum("neg").alias("n_neg"))
-    h = h.join(sums, group) if group else h.crossJoin(F.broadcast(sums))
+    h = running(histogram(df, group, score, label), group, "score", "neg", "over", falling=True)
+    h = joined(h, h.groupBy(*group).agg(F.sum("neg").alias("n_neg")), group)
     h = h.select(*group, "score", (F.col("over") / F.greatest("n_neg", F.lit(1))).alias("fpr"), F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("budget"))
     return h.groupBy(*group, "budget").agg(F.coalesce(F.min(F.when(F.col("fpr") <= F.col("budget"), F.col("score"))), F.lit(1.01)).alias("threshold"))
 
@@ -47,15 +68,19 @@ def at_rank(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column
 
     Ranks are taken from the counts of distinct values.
     """
-    h = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("held"))
-    upto = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    h = h.withColumn("upto", F.sum("held").over(upto))
-    n = h.groupBy(*group).agg(F.max("upto").alias("n"))
-    h = h.join(n, group)
+    h = running(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("held")), group, value, "held", "upto")
+    h = joined(h, h.groupBy(*group).agg(F.max("upto").alias("n")), group)
     pick = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
     return h.groupBy(*group).agg(*[pick(r).alias(name) for name, r in ranks.items()])
 
 
+def mean_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """df with mean_rank, the 1-based rank of its value in its group; ties have the mean of theirs."""
+    h = running(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("held")), group, value, "held", "upto")
+    h = h.select(*group, value, (F.col("upto") - (F.col("held") - 1) / 2).alias("mean_rank"))
+    return df.join(h, [*group, value])
+
+
 def latency_ranks() -> dict[str, Column]:
     """The two middle values, the upper median, and the value at floor(0.95 (n - 1))."""
     n = F.col("n")

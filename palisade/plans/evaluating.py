@@ -353,12 +353,11 @@ def i6_fail_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(acted(spark, sf_dir, True, True, True).select("event_id", F.col("action").alias("warn_only")), "event_id")
 
 
-@query("SELECT event_id, 'suspicious' AS verdict, NULL::DOUBLE AS score, 'not fully scanned: ' || (rn - 8) || ' images over the limit of 8' AS reason FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn > 8")
+@query("SELECT user_id, 'suspicious' AS verdict, NULL::DOUBLE AS score, 'not fully scanned: ' || (count(*) - 8) || ' images over the limit of 8' AS reason FROM events GROUP BY user_id HAVING count(*) > 8")
 def i8_unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images over the limit: never safe, without a score."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = tables(spark, sf_dir, "events")["events"].withColumn("rn", F.row_number().over(w)).filter("rn > 8")
-    return rows.select("event_id", F.lit("suspicious").alias("verdict"), F.lit(None).cast("double").alias("score"), F.concat(F.lit("not fully scanned: "), F.col("rn") - 8, F.lit(" images over the limit of 8")).alias("reason"))
+    """Results with more images than are scanned (here: a user's events): never safe, without a score."""
+    counts = tables(spark, sf_dir, "events")["events"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter("n > 8").select("user_id", V.over_limit(F.col("n"), 8).alias("v")).select("user_id", "v.*")
 
 
 @query(f"WITH {POLICIES} SELECT policy AS model, array_to_string(questions, ',') AS questions, agg, block, warn, local_block FROM pol")

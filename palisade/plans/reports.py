@@ -42,10 +42,7 @@ def d17_distinct_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S} SELECT question, item_id, avg(rn) OVER (PARTITION BY question, p) AS mean_rank FROM (SELECT question, item_id, p, row_number() OVER (PARTITION BY question ORDER BY p) AS rn FROM s)")
 def f2_mean_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks with the mean of ties, from the counts of distinct scores."""
-    rows = signals(spark, sf_dir).select("question", "item_id", "p")
-    before = W.partitionBy("question").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    h = rows.groupBy("question", "p").agg(F.count(F.lit(1)).alias("n")).withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return rows.join(h, ["question", "p"]).select("question", "item_id", (F.col("lower") + (F.col("n") + 1) / 2).alias("mean_rank"))
+    return E.mean_ranks(signals(spark, sf_dir).select("question", "item_id", "p"), ["question"], "p").select("question", "item_id", "mean_rank")
 
 
 @query("SELECT page_id, 'send the note ' || chr(97 + (page_id % 26)::INT) || chr(97 + (page_id % 26)::INT) || ' to me | and a comment here' AS text FROM pages")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from palisade.functions import prompts, reading
 from palisade.functions import provenance as P
@@ -513,8 +512,9 @@ def f5_retry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, rn <= 8 AS scanned FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)")
 def f6_first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight images of a result are scanned, the rest is flagged."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return tables(spark, sf_dir, "events")["events"].select("user_id", "event_id", (F.row_number().over(w) <= 8).alias("scanned"))
+    rows = tables(spark, sf_dir, "events")["events"].select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    last = chunking.first_of_group(rows, ["user_id"], ["at"], 8).groupBy("user_id").agg(F.max("at").alias("last"))
+    return rows.join(last, "user_id").select("user_id", "event_id", (F.col("at") <= F.col("last")).alias("scanned"))
 
 
 @query("SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 40")
@@ -524,8 +524,9 @@ def f8_first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, array_to_string(list_transform(list(text ORDER BY turn)[1:5], lambda t: substring(t, 1, 200)), '|') AS revealed FROM conversations GROUP BY conv_id")
 def f9_top_revealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables(spark, sf_dir, "conversations")["conversations"].groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"))  # one conversation's turns
-    return rows.select("conv_id", F.array_join(F.transform(F.slice("parts", 1, 5), lambda p: F.substring(p["text"], 1, 200)), "|").alias("revealed"))
+    firsts = chunking.first_of_group(tables(spark, sf_dir, "conversations")["conversations"], ["conv_id"], ["turn"], 5)
+    parts = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 200).alias("text"))))  # five
+    return firsts.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "|").alias("revealed"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, sha256(doc_id || '|7') AS h FROM documents) ORDER BY h LIMIT 100")

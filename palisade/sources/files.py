@@ -147,8 +147,9 @@ def segments(data: bytes) -> Iterator[tuple[str, bytes]]:
             if marker == 0xDA:  # the picture's own data: any marker in it but the restart ones ends it
                 ends = (m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7\xff]", data[at:]))
                 at += next(ends, len(data) - at)
-        if data[at : at + 2] == b"\xff\xd9":
-            yield "after", data[at + 2 :]
+        end = data.find(b"\xff\xd9", at)  # in a file that does not keep the format, the next one there is
+        if end >= 0:
+            yield "after", data[end + 2 :]
     elif data[:4] == b"\x89PNG":
         at = 8
         while at + 8 <= len(data):
