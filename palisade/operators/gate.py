@@ -52,12 +52,12 @@ def judged(rows: DataFrame, text: str, detector: str = "keywords", policy: Polic
     """rows with read (the reading of `text`), flags, digest, words, signals, score, verdict, reasons, failed, outage
     and complete. A text of too few words to say anything is scored like any other; blank ones have no signals."""
     rows = reading.read(rows, text, "read", "flags")
-    rows = rows.withColumn("digest", F.sha2("read", 256)).withColumn("words", X.words(F.col("read")))
+    digest = F.coalesce(F.sha2("read", 256), F.lit(""))  # never null, or joins by it would test the whole reading once more
+    rows = rows.withColumn("digest", digest).withColumn("words", X.words(F.col("read")))
     distinct = rows.groupBy("digest").agg(F.first("read").alias("read"))
     cut = chunking.chunks(distinct, "read", *chunking.CHUNKS[chunks]).select("digest", "pos", "chunk", F.col("truncated").alias("cut_off"))
     scored = scoring.score_chunks(cut, "chunk", detector)
-    found = scoring.merged(scored, "digest").join(scored.groupBy("digest").agg(F.bool_or("cut_off").alias("cut_off")), "digest")
-    rows = rows.join(found, "digest")
+    rows = rows.join(scoring.merged(scored, "digest", "cut_off"), "digest")
     more = F.array_compact(F.array(F.when(F.col("cut_off"), "scan_truncated"), F.when(F.col("failed_chunks") > 0, "scan_incomplete")))
     rows = rows.withColumn("flags", F.concat("flags", more))
     questions = F.array(*[F.lit(q) for q in policy.questions])
@@ -79,7 +79,8 @@ def scan_results(results: DataFrame, released: DataFrame, detector: str = "keywo
     released: the digests that are let pass."""
     skipped = results.filter("mode IS NULL").select("*", F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("quarantine_id"), F.col("text").alias("passed"), F.lit(None).cast("string").alias("audit"))
     rows = judged(results.filter("mode IS NOT NULL"), "text", detector, policy)
-    rows = rows.join(released.select("digest").distinct().withColumn("released", F.lit(True)), "digest", "left")
+    passing = released.select(F.coalesce("digest", F.lit("")).alias("digest")).distinct()  # not null: see judged
+    rows = rows.join(passing.withColumn("released", F.lit(True)), "digest", "left")
     level = F.lit(policy.local_block).cast("double")
     act = V.action(
         F.col("mode"), F.col("words"), F.lit(0), F.coalesce("released", F.lit(False)), F.col("paused"), F.col("failed"), F.col("verdict"), F.col("score"), level,

@@ -99,11 +99,17 @@ def score_chunks(chunks: DataFrame, text: str, detector: str, rate: float | None
     return chunks.mapInPandas(f, f"{columns}, signals map<string,double>, failed int, outage boolean, error string")
 
 
-def merged(scores: DataFrame, key: str) -> DataFrame:
-    """Chunk scores to items: the greatest probability of each question, and what failed."""
-    answers = scores.select(key, F.explode_outer("signals").alias("question", "p")).groupBy(key, "question").agg(F.max("p").alias("p"))
-    signals = answers.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("question").isNotNull(), F.struct("question", "p")))).alias("signals"))
-    return signals.join(scores.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("failed").alias("failed_chunks"), F.bool_or("outage").alias("outage")), key)
+def merged(scores: DataFrame, key: str, *any_of: str) -> DataFrame:
+    """Chunk scores to items: the greatest probability of each question, what failed, and whether any chunk has the
+    columns any_of. The scores are read once: each chunk counts in the row of its first question."""
+    answers = scores.select(key, "failed", "outage", *any_of, F.posexplode_outer("signals").alias("pos", "question", "p"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    ors = ["outage", *any_of]
+    answers = answers.groupBy(key, "question").agg(
+        F.max("p").alias("p"), F.count_if(first).alias("n_chunks"), F.sum(F.when(first, F.col("failed")).otherwise(0)).alias("failed_chunks"), *[F.bool_or(c).alias(c) for c in ors]
+    )
+    entries = F.collect_list(F.when(F.col("question").isNotNull(), F.struct("question", "p")))  # a row for each question
+    return answers.groupBy(key).agg(F.map_from_entries(entries).alias("signals"), F.sum("n_chunks").alias("n_chunks"), F.sum("failed_chunks").alias("failed_chunks"), *[F.bool_or(c).alias(c) for c in ors])
 
 
 def fit_logistic(rows: DataFrame, features: str, label: str = "label"):

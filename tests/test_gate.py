@@ -117,3 +117,12 @@ def test_running_sums_cross_ranges(spark):
 def test_last_option(spark):
     p = spark.range(1).select(pictures.last_option(F.array(F.lit(0.0), F.lit(1.0)), 1.0).alias("p")).first()["p"]
     assert p == pytest.approx(0.7310585786)
+
+
+def test_joins_by_digest_do_not_read_a_text_once_more(spark):
+    rows = spark.createDataFrame([("browser", "external", "hello there you", dt.datetime(2026, 1, 2), False)], "tool string, mode string, text string, ts timestamp, paused boolean")
+    listed = reading.read(rows, "text").select(F.sha2("text", 256).alias("digest"))
+    plan = gate.scan_results(rows, listed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan
+    assert not [line for line in plan.splitlines() if "Filter isnotnull(" in line and "sha2" in line]
+    assert plan.count("MapInPandas") == 1  # chunks are scored once
