@@ -121,14 +121,14 @@ def scan_prompts(messages: DataFrame, key: list[str], detector: str = "keywords"
     could not be scored; other messages as they are. key names a message."""
     users = messages.filter("role = 'user'")
     blocks = users.select(*key, F.explode(prompts.script_blocks("text")).alias("block")).select(*key, "block.*")
-    found = judged(blocks, "body", detector, policy).filter(F.col("words") >= settings.least_words)
-    found = found.withColumn("said", cron_verdict(F.col("verdict"), F.col("failed")))
-    gone = found.filter(cron_blocks(F.col("said"), settings))
+    found = judged(blocks, "body", detector, policy).withColumn("said", cron_verdict(F.col("verdict"), F.col("failed")))
     why = F.when(F.col("said") == "unavailable", F.array(F.lit("firewall unreachable"))).otherwise(F.col("reasons"))
-    gone = gone.select(*key, "start", "stop", notice(F.lit("cron_script"), F.col("said"), F.round("score", 4), why, F.lit(None).cast("string")).alias("notice"))
-    lists = gone.groupBy(*key).agg(F.collect_list(F.struct("start", "stop", "notice")).alias("withheld"))  # the blocks of one prompt
+    left = notice(F.lit("cron_script"), F.col("said"), F.round("score", 4), why, F.lit(None).cast("string"))
+    gone = (F.col("words") >= settings.least_words) & cron_blocks(F.col("said"), settings)
+    # the blocks of one prompt; chosen here and not by a filter, which would be pushed below the reading and repeat it
+    lists = found.groupBy(*key).agg(F.collect_list(F.when(gone, F.struct("start", "stop", left.alias("notice")))).alias("withheld"))
     rows = messages.join(lists, key, "left")
-    return rows.withColumn("passed", F.when(F.col("withheld").isNotNull(), prompts.without_blocks("text", "withheld")).otherwise(F.col("text"))).drop("withheld")
+    return rows.withColumn("passed", F.when(F.size("withheld") > 0, prompts.without_blocks("text", "withheld")).otherwise(F.col("text"))).drop("withheld")
 
 
 def scan_messages(events: DataFrame, owners: list[str], detector: str = "keywords", policy: Policy = KEYWORDS, settings: Settings = Settings()) -> DataFrame:
