@@ -17,8 +17,9 @@ def histogram(df: DataFrame, group: list[str], score: str, label: str) -> DataFr
     return df.groupBy(*group, F.col(score).alias("score")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
 
 
-#: Ranges that the scores of a group are cut into, at about equal numbers of distinct ones.
-RANGES = 64
+#: Ranges that the scores of a group are cut into, at about equal numbers of distinct ones, and the scores that are
+#: drawn for each.
+RANGES, DRAWN = 64, 16
 
 
 def joined(df: DataFrame, other: DataFrame, group: list[str]) -> DataFrame:
@@ -26,11 +27,20 @@ def joined(df: DataFrame, other: DataFrame, group: list[str]) -> DataFrame:
     return df.join(other, group) if group else df.crossJoin(F.broadcast(other))
 
 
+def cuts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The values `_cuts` between the ranges of each group: of RANGES * DRAWN slots by hash the value that is least by
+    hash. A plan may take them several times, and must then get the same ones, so they hang on the values alone; a
+    sketch (percentile_approx) hangs on the order in which its parts are merged, too."""
+    spot = F.xxhash64(value)
+    drawn = df.filter(F.col(value).isNotNull()).groupBy(*group, F.pmod(spot, F.lit(RANGES * DRAWN)).alias("_slot")).agg(F.min(F.struct(spot.alias("spot"), F.col(value).alias("value"))).alias("_least"))
+    lists = drawn.groupBy(*group).agg(F.array_sort(F.collect_list("_least.value")).alias("_drawn"))  # RANGES * DRAWN at most
+    return lists.select(*group, F.filter("_drawn", lambda x, i: (i > 0) & ((i * RANGES) % F.size("_drawn") < RANGES)).alias("_cuts"))
+
+
 def running(df: DataFrame, group: list[str], value: str, held: str, name: str, falling: bool = False) -> DataFrame:
     """df (a row for each group and value) with `name`, the sum of `held` over the values up to its own, or down to
     it: the sums of the ranges before, and the sum inside its range."""
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(16 * RANGES)).alias("_cuts"))
-    ranged = joined(df, cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ranged = joined(df, cuts(df, group, value), group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     order = (lambda c: F.desc(c)) if falling else (lambda c: F.asc(c))
     sums = ranged.groupBy(*group, "_range").agg(F.sum(held).alias("_sum"))
     before = W.partitionBy(*group).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows

@@ -114,6 +114,24 @@ def test_running_sums_cross_ranges(spark):
         assert r["upto"] == sum(h for g, v, h in rows if g == r["g"] and v <= r["v"])
 
 
+def test_ranges_hang_on_the_scores_alone(spark):
+    """A plan takes the cuts twice, so they may not hang on the order in which parts of a group come."""
+    scores = spark.range(200_000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 100_003 / 100_003).alias("v"), F.lit(1).alias("held"))
+    dealt = [scores.coalesce(1), scores.repartition(4, "v"), scores.repartition(13, "held", "g"), scores.repartition(31)]
+    found = [{r["g"]: r["_cuts"] for r in E.cuts(d, ["g"], "v").collect()} for d in dealt]
+    assert all(f == found[0] for f in found)
+    assert all(len(c) == E.RANGES - 1 and max(b - a for a, b in zip([0, *c], [*c, 1])) < 0.05 for c in found[0].values())
+    plan = E.running(scores.groupBy("g", "v").agg(F.sum("held").alias("held")), ["g"], "v", "held", "upto")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
+def test_ranges_of_few_scores(spark):
+    rows = [("a", 0.5, 1), ("a", None, 2), ("b", None, 4), ("c", 1.0, 1), ("c", float("nan"), 2), ("c", -0.0, 4)]
+    df = spark.createDataFrame(rows, "g string, v double, held int")
+    assert {(r["g"], str(r["v"])): r["upto"] for r in E.running(df, ["g"], "v", "held", "upto").collect() if r["g"] == "c"} == {("c", "-0.0"): 4, ("c", "1.0"): 5, ("c", "nan"): 7}
+    assert [r["upto"] for r in E.running(df.filter("g = 'c'").drop("g"), [], "v", "held", "upto").sort("v").collect()] == [4, 5, 7]
+
+
 def test_last_option(spark):
     p = spark.range(1).select(pictures.last_option(F.array(F.lit(0.0), F.lit(1.0)), 1.0).alias("p")).first()["p"]
     assert p == pytest.approx(0.7310585786)
