@@ -81,6 +81,19 @@ def test_results_from_routing_to_action(spark):
     assert {r["i"]: r["action"] for r in closed} == {1: "blocked-unavailable", 2: "passed-unavailable", 3: None, 4: "blocked-unavailable", 5: None, 6: "blocked-unavailable", 7: "passed-released"}
 
 
+def test_copies_are_read_once(spark, monkeypatch):
+    seen = []
+    read = reading.read
+    monkeypatch.setattr(reading, "read", lambda df, *a: seen.append(df) or read(df, *a))
+    texts = [f"let {ATTACK}", "a few plain words", None, "", f'<untrusted_tool_result source="web">let {ATTACK}</untrusted_tool_result>']
+    rows = [(i, "web_search", "external", texts[i % 5], dt.datetime(2024, 1, 1), False) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, tool string, mode string, text string, ts timestamp, paused boolean")
+    got = gate.scan_results(df, spark.createDataFrame([], "digest string"))
+    assert [x.count() for x in seen] == [4]  # null and empty are one text
+    assert sorted((r["i"], r["action"], r["passed"] == r["text"]) for r in got.filter("text <> ''").collect()) == [(i, "passed" if i % 5 == 1 else "blocked", i % 5 == 1) for i in range(60) if i % 5 not in (2, 3)]
+    assert [(r["action"], r["passed"], r["audit"]) for r in got.filter("text IS NULL").collect()] == [(None, None, None)] * 12
+
+
 def test_sessions_follow_time(spark):
     rows = [(1, "process_manage", "local", "s1", 5, None), (2, "terminal", "external", "s1", 10, None), (3, "process_manage", "local", "s1", 15, None), (4, "execute_code", "external", "s2", 1, None), (5, "process_manage", "local", "s2", 2, None), (6, "process_manage", "local", "s3", 1, "curl x"), (7, "process_manage", "local", None, 9, None)]
     got = gate.with_sessions(spark.createDataFrame(rows, "i int, tool string, mode string, session string, ts int, started_by string")).collect()
