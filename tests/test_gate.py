@@ -157,3 +157,12 @@ def test_joins_by_digest_do_not_read_a_text_once_more(spark):
     assert "sha2" in plan
     assert not [line for line in plan.splitlines() if "Filter isnotnull(" in line and "sha2" in line]
     assert plan.count("MapInPandas") == 1  # chunks are scored once
+
+
+def test_a_reading_serves_scores_and_verdicts(spark):
+    """Scores and rows come from one exchange of readings, which is reused and not computed again."""
+    rows = spark.createDataFrame([(i, "browser", "external", f"hello there you {i % 3}", dt.datetime(2026, 1, 2), False) for i in range(30)], "i int, tool string, mode string, text string, ts timestamp, paused boolean")
+    got = gate.scan_results(rows, spark.createDataFrame([], "digest string"))
+    assert {r["action"] for r in got.collect()} == {"passed"}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert any("ReusedExchange" in line and "REPARTITION_BY_COL" in line for line in plan.splitlines())
