@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A bucket and a batch for each document."""
-    return pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """A bucket and a batch for each document; the batches of a bucket follow the mix."""
+    return pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), as_given=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -3,8 +3,8 @@
 A histogram of all lengths is gathered: a row for each distinct length, which the longest document bounds,
 however many documents there are. Dynamic programming chooses at most BUCKETS boundaries among the lengths,
 so that the padding, the sum over documents of their bucket's boundary minus their length, is least. Inside
-a bucket documents are dealt, in a hashed order, to batches of as many as the token budget holds at the
-bucket's length.
+a bucket documents are dealt, in a hashed order or in the one in which they come, to batches of as many as
+the token budget holds at the bucket's length.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import identified, ranked, save, scanned, tidy
+from palisade.llm.common import identified, ranked, ranked_as_stored, save, scanned, stored_at, tidy
 from palisade.llm.token_count import LibraryMerges, with_token_counts
 
 BUCKETS, BUDGET = 16, 65_536
@@ -62,30 +62,35 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def packed_lengths(spark: SparkSession, lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def packed_lengths(spark: SparkSession, lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, as_given: bool = False) -> DataFrame:
     """lengths (uid, doc_id, n_tokens; one row for each document) with bucket, bucket_length, batch,
-    place and padding."""
+    place and padding. as_given: the documents of a bucket are dealt in the order of file and row, which lengths
+    then have too."""
     histogram = sorted(map(tuple, lengths.groupBy("n_tokens").count().collect()))  # no more rows than the longest document has tokens
     tops = boundaries(np.array([x for x, _ in histogram]), np.array([n for _, n in histogram]), buckets)
     ends = F.array(*[F.lit(t).cast("long") for t in tops]) if tops else F.array().cast("array<long>")
     bucket = F.size(F.filter(ends, lambda e: e < F.col("n_tokens"))).cast("int")
     rows = lengths.withColumn("bucket", bucket).withColumn("bucket_length", F.get(ends, F.col("bucket")))
-    placed = ranked(rows, ["bucket"], ["doc_id", "uid"], total=sum(n for _, n in histogram))
+    placed = ranked_as_stored(rows, ["bucket"]) if as_given else ranked(rows, ["bucket"], ["doc_id", "uid"], total=sum(n for _, n in histogram))
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
     batch = F.floor(F.col("place") / fit).cast("long")
     return placed.withColumn("batch", batch).withColumn("place", F.col("place") - F.col("batch") * fit).withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
 
 
 @tidy
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, buckets: int = BUCKETS, budget: int = BUDGET, as_given: bool = False) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch (in the bucket), place (in the batch) and padding
     for each row of docs (doc_id, text).
 
     Lengths are token counts under the vocabulary file. A document longer than the budget is a batch
     of its own, whole; null and empty texts have length 0. Repeated rows are packed each; an empty
     table gives no rows; further columns are not read, whatever their names.
+
+    as_given: the batches of a bucket, and the places in them, follow the order of docs (that in which its rows
+    are sorted, or stand in its files); else that of a hash.
     """
     docs = scanned(spark, docs)
-    counted = with_token_counts(spark, identified(docs, [docs["doc_id"], docs["text"]]), vocabulary, "uid", merges=LibraryMerges)
+    at, names = (stored_at(docs), ["file", "row"]) if as_given else ([], [])
+    counted = with_token_counts(spark, identified(docs, [docs["doc_id"], docs["text"], *at]), vocabulary, "uid", *names, merges=LibraryMerges)
     counted = save(spark, counted, "lengths")
-    return packed_lengths(spark, counted, buckets, budget).select("doc_id", "n_tokens", "bucket", "bucket_length", "batch", "place", "padding")
+    return packed_lengths(spark, counted, buckets, budget, as_given).select("doc_id", "n_tokens", "bucket", "bucket_length", "batch", "place", "padding")
